@@ -3,10 +3,11 @@ from __future__ import annotations
 
 import re
 
-from tallyfolio.plans import documents, oracle_documents, oracle_records, records
+from tallyfolio.plans import (
+    documents, lifecycle, oracle_documents, oracle_lifecycle, oracle_records, records)
 
-_PARTS = (documents, records)
-_ORACLES = (oracle_documents, oracle_records)
+_PARTS = (documents, records, lifecycle)
+_ORACLES = (oracle_documents, oracle_records, oracle_lifecycle)
 
 
 def queries() -> dict:
