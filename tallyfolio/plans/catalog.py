@@ -4,10 +4,11 @@ from __future__ import annotations
 import re
 
 from tallyfolio.plans import (
-    documents, lifecycle, oracle_documents, oracle_lifecycle, oracle_records, records)
+    documents, evaluation, lifecycle, oracle_documents, oracle_evaluation, oracle_lifecycle,
+    oracle_records, records)
 
-_PARTS = (documents, records, lifecycle)
-_ORACLES = (oracle_documents, oracle_records, oracle_lifecycle)
+_PARTS = (documents, records, lifecycle, evaluation)
+_ORACLES = (oracle_documents, oracle_records, oracle_lifecycle, oracle_evaluation)
 
 
 def queries() -> dict:

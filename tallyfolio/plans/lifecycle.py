@@ -202,10 +202,10 @@ def loaded_jobs(spark, sf_dir):
 
 
 def job_lookup(spark, sf_dir):
-    """The jobs of one file name, which is a bound parameter and never part of the statement."""
+    """Scans of two pages; what is looked for is bound and never part of the statement."""
     return spark.sql(
-        "SELECT job_id, n_images FROM {subs} WHERE filename = :name AND has_text = :has_text",
-        args=S.bound({"name": "statement_1_p1.pdf", "has_text": True}), subs=T.submissions(spark, sf_dir))
+        "SELECT job_id, filename IS NULL AS unnamed FROM {subs} WHERE n_images = :pages AND has_text = :has_text",
+        args=S.bound({"pages": 2, "has_text": False}), subs=T.submissions(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ streams

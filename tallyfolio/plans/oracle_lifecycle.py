@@ -94,7 +94,7 @@ ORACLE = {
         FROM outcomes""",
     "loaded_jobs": "SELECT * FROM flat_jobs",
     "job_lookup": """
-        SELECT job_id, n_images::INT AS n_images FROM submissions WHERE filename = 'statement_1_p1.pdf' AND has_text""",
+        SELECT job_id, filename IS NULL AS unnamed FROM submissions WHERE n_images = 2 AND NOT has_text""",
     "stream_routing": f"""
         SELECT d.doc_id, CASE WHEN has_text THEN 'text' ELSE 'vision' END AS reader, NOT has_text AS was_scan,
                CASE WHEN has_text THEN 0 ELSE n END::BIGINT AS n_images
