@@ -10,13 +10,18 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+import tallyfolio
 from tallyfolio.functions.records import normalize, reconcile
 from tallyfolio.operators.cascade import (
     MAX_ATTEMPTS, TRANSIENT, CascadeOptions, resolve_calls, resolve_extraction, with_conformed)
 from tallyfolio.schemas import ATTEMPTS
 
+# Send this package's functions along with the tasks, so that workers need no copy of it.
+cloudpickle.register_pickle_by_value(tallyfolio)
+
 
 class CallError(Exception):
     """A failed call; ``error_class`` says whether it is worth another attempt."""
@@ -59,10 +64,8 @@ def call_model(inputs: DataFrame, make_predictor: Callable[[], Predictor], tier:
                     reply, failure = None, (None, None)
                     try:
                         reply = predictor(text, image_uri)
-                    except CallError as exc:
-                        failure = (exc.error_class, str(exc))
                     except Exception as exc:  # errors are rows, one document never stops others
-                        failure = ("other", str(exc))
+                        failure = (getattr(exc, "error_class", "other"), str(exc))
                     rows.append((job_id, tier, purpose, number, reply and reply.response_json,
                                  *failure, time.monotonic() - started,
                                  reply.tokens_in if reply else 0, reply.tokens_out if reply else 0))

@@ -86,10 +86,10 @@ def worded(items: str) -> str:
 
 
 def greedy(pred: str, gold: str) -> str:
-    hit = (f"list_position(list_transform(s.free, lambda g: {money_eq('x.a', 'g.a')} "
-           f"AND list_has_any(x.w, g.w)), true)")
-    return (f"list_reduce({worded(pred)}, lambda s, x: CASE WHEN coalesce({hit}, 0) = 0 THEN s ELSE "
-            f"{{'free': list_filter(s.free, lambda g, i: i <> {hit}), 'm': s.m + 1}} END, "
+    hit = (f"list_position(list_transform(st.free, lambda gd: {money_eq('pr.a', 'gd.a')} "
+           f"AND list_has_any(pr.w, gd.w)), true)")
+    return (f"list_reduce({worded(pred)}, lambda st, pr: CASE WHEN coalesce({hit}, 0) = 0 THEN st ELSE "
+            f"{{'free': list_filter(st.free, lambda gd, i: i <> {hit}), 'm': st.m + 1}} END, "
             f"{{'free': {worded(gold)}, 'm': 0}}).m")
 
 
