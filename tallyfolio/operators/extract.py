@@ -27,9 +27,12 @@ class CallError(Exception):
     """A failed call; ``error_class`` says whether it is worth another attempt."""
 
     def __init__(self, error_class: str, message: str):
-        super().__init__(message)
+        super().__init__(error_class, message)
         self.error_class = error_class
 
+    def __str__(self) -> str:
+        return self.args[1]
+
 
 @dataclass(frozen=True)
 class Reply:

@@ -437,10 +437,12 @@ ORACLE = {
                total_c / 100.0::DOUBLE AS line_sum, qty::DOUBLE AS quantity,
                replace(unit_text, ',', '')::DOUBLE AS unit_price
         FROM printed_facts""",
-    # Read back as printed: everything right but a tax of nothing, which is not printed.
     "text_reading_scores": """
-        SELECT CASE WHEN tax_c > 0 THEN 1.0::DOUBLE ELSE round_even(14.5::DOUBLE / 16, 4) END AS overall, count(*) AS n_docs
-        FROM bills GROUP BY 1""",
+        SELECT overall, count(*) AS n_docs FROM (
+            -- lost points: a tax of nothing is not printed; two-digit years are read as 20xx
+            SELECT round_even((16 - CASE WHEN tax_c = 0 THEN 1.5::DOUBLE ELSE 0 END
+                - CASE WHEN k % 3 = 2 AND year(shipped) < 2000 THEN 1 ELSE 0 END) / 16.0::DOUBLE, 4) AS overall FROM bills)
+        GROUP BY overall""",
     "model_calls": """
         WITH sized AS (SELECT doc_id::VARCHAR AS job_id, length('document ' || doc_id || chr(10) || text) AS n FROM documents),
         tried AS (SELECT job_id, n, unnest(range(1, 4)) AS attempt_no,

@@ -1,6 +1,7 @@
 """Spark session defaults and the shared scratch folder."""
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -22,6 +23,8 @@ def build_session(app: str = "tallyfolio", master: str | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM does not compile methods above this size; wide projections are split instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Recording the call site of every column costs several round trips to the JVM each.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -32,6 +35,11 @@ def build_session(app: str = "tallyfolio", master: str | None = None,
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tallyfolio-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where the cluster names it.
 
@@ -42,9 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="tallyfolio-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
