@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyfolio.functions.money import two_decimals
 from tallyfolio.schemas import HEADER_MONEY, HEADER_TEXT, INVOICE, ITEM_NUMBERS
@@ -96,35 +96,30 @@ def reconcile(invoice: Column, abs_tol: float = ABS_TOLERANCE,
 
 
 # ------------------------------------------------------------------ schema conformance
+#
+# Written as SQL text: the checks are many and alike, and one parsed expression is far quicker
+# to build than hundreds of column objects. ``doc`` names a VARIANT column.
 
-def _kind(variant: Column, path: str) -> Column:
+def _kind(doc: str, path: str) -> str:
     """Type name at a path: VOID for an explicit null, null where the path is absent."""
-    return F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    return f"schema_of_variant(try_variant_get({doc}, '$.{path}', 'variant'))"
 
 
-def _text_ok(kind: Column) -> Column:
-    return F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+def _text_fault(doc: str, name: str) -> str:
+    return f"CASE WHEN {_kind(doc, name)} NOT IN ('STRING', 'VOID') THEN '{name}' END"
 
 
-def _number_ok(kind: Column, as_text: Column) -> Column:
-    numeric = kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|BOOLEAN|VOID)$")
-    return F.coalesce(numeric | ((kind == "STRING") & as_text.rlike(_NUMERIC_TEXT)), F.lit(True))
+def _number_fault(doc: str, name: str) -> str:
+    kind = _kind(doc, name)
+    as_text = f"try_variant_get({doc}, '$.{name}', 'string')"
+    return (f"CASE WHEN NOT ({kind} RLIKE '^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|BOOLEAN|VOID)$' "
+            f"OR ({kind} = 'STRING' AND {as_text} RLIKE r'{_NUMERIC_TEXT}')) THEN '{name}' END")
 
 
-def _read_number(variant: Column, path: str) -> Column:
-    number = F.try_variant_get(variant, path, "double")
-    text = F.trim(F.replace(F.try_variant_get(variant, path, "string"), F.lit("_"), F.lit("")))
-    return F.coalesce(number, text.try_cast("double"))
-
-
-def _item_fault(item: Column) -> Column:
-    """Name of the first ill-typed field of a line, or null."""
-    numbers = [F.when(~_number_ok(_kind(item, f"$.{n}"), F.try_variant_get(item, f"$.{n}", "string")),
-                      n) for n in ITEM_NUMBERS]
-    described = F.coalesce(_kind(item, "$.description") == "STRING", F.lit(False))
-    return F.coalesce(
-        F.when(~F.schema_of_variant(item).startswith("OBJECT"), "not an object"),
-        F.when(~described, "description"), *numbers)
+def _number(doc: str, name: str) -> str:
+    as_text = f"try_variant_get({doc}, '$.{name}', 'string')"
+    return (f"coalesce(try_variant_get({doc}, '$.{name}', 'double'), "
+            f"try_cast(trim(replace({as_text}, '_', '')) AS DOUBLE))")
 
 
 def parse_response(response_json: Column) -> Column:
@@ -132,48 +127,43 @@ def parse_response(response_json: Column) -> Column:
     return F.try_parse_json(response_json)
 
 
-def response_fault(doc: Column) -> Column:
+def response_fault(doc: str) -> Column:
     """Why a parsed response does not fit the record layout; null where it fits.
 
     Text fields must be text, money fields numeric (or numeric text), lines objects with a
     description. Unknown keys and absent fields are fine.
     """
-    items_kind = _kind(doc, "$.line_items")
-    items = F.try_variant_get(doc, "$.line_items", "array<variant>")
-    first_bad = F.get(F.filter(F.transform(items, _item_fault), lambda f: f.isNotNull()), F.lit(0))
-    checks = [F.when(~_text_ok(_kind(doc, f"$.{n}")), n) for n in HEADER_TEXT]
-    checks += [F.when(~_number_ok(_kind(doc, f"$.{n}"), F.try_variant_get(doc, f"$.{n}", "string")), n)
-               for n in HEADER_MONEY]
-    return F.coalesce(
-        F.when(doc.isNull(), "not JSON"),
-        F.when(~F.schema_of_variant(doc).startswith("OBJECT"), "not an object"),
-        *checks,
-        F.when(items_kind.isNotNull() & ~items_kind.startswith("ARRAY"), "line_items"),
-        F.when(first_bad.isNotNull(), F.concat(F.lit("line_items: "), first_bad)))
-
-
-def response_invoice(doc: Column) -> Column:
+    item = ", ".join([
+        "CASE WHEN NOT startswith(schema_of_variant(i), 'OBJECT') THEN 'not an object' END",
+        f"CASE WHEN coalesce({_kind('i', 'description')}, '') <> 'STRING' THEN 'description' END",
+        *[_number_fault("i", n) for n in ITEM_NUMBERS]])
+    items = f"try_variant_get({doc}, '$.line_items', 'array<variant>')"
+    checks = ", ".join([*[_text_fault(doc, n) for n in HEADER_TEXT],
+                        *[_number_fault(doc, n) for n in HEADER_MONEY]])
+    return F.expr(f"""coalesce(
+        CASE WHEN {doc} IS NULL THEN 'not JSON' END,
+        CASE WHEN NOT startswith(schema_of_variant({doc}), 'OBJECT') THEN 'not an object' END,
+        {checks},
+        CASE WHEN NOT startswith({_kind(doc, 'line_items')}, 'ARRAY') THEN 'line_items' END,
+        'line_items: ' || get(filter(transform({items}, i -> coalesce({item})), f -> f IS NOT NULL), 0))""")
+
+
+def response_invoice(doc: str) -> Column:
     """A parsed response as a typed record; call it only where ``response_fault`` is null."""
-    items = F.coalesce(F.try_variant_get(doc, "$.line_items", "array<variant>"),
-                       F.array().cast("array<variant>"))
-    typed_items = F.transform(items, lambda i: F.struct(
-        F.try_variant_get(i, "$.description", "string").alias("description"),
-        *[_read_number(i, f"$.{n}").alias(n) for n in ITEM_NUMBERS]))
+    numbers = ", ".join(f"'{n}', {_number('i', n)}" for n in ITEM_NUMBERS)
+    items = (f"transform(coalesce(try_variant_get({doc}, '$.line_items', 'array<variant>'), "
+             f"CAST(array() AS array<variant>)), i -> named_struct("
+             f"'description', try_variant_get(i, '$.description', 'string'), {numbers}))")
     fields = []
-    for field in INVOICE.fields:
-        if field.name == "line_items":
-            fields.append(typed_items.alias("line_items"))
-        elif field.name in HEADER_MONEY:
-            fields.append(_read_number(doc, f"$.{field.name}").alias(field.name))
-        else:
-            fields.append(F.try_variant_get(doc, f"$.{field.name}", "string").alias(field.name))
-    return F.struct(*fields)
-
-
-def conform(response_json: Column) -> tuple[Column, Column]:
-    """``(invoice, fault)`` of a response text; exactly one of the two is null."""
-    doc = parse_response(response_json)
-    fault = response_fault(doc)
-    return F.when(fault.isNull(), response_invoice(doc)), fault
-
-
+    for name in INVOICE.names:
+        value = (items if name == "line_items" else _number(doc, name) if name in HEADER_MONEY
+                 else f"try_variant_get({doc}, '$.{name}', 'string')")
+        fields.append(f"'{name}', {value}")
+    return F.expr(f"named_struct({', '.join(fields)})")
+
+
+def conform(df: DataFrame, response: str) -> DataFrame:
+    """Add ``invoice`` and ``fault`` for a column of response texts; exactly one of them is null."""
+    df = df.withColumn("_doc", parse_response(F.col(response)))
+    df = df.withColumn("fault", response_fault("_doc"))
+    return df.withColumn("invoice", F.when(F.col("fault").isNull(), response_invoice("_doc"))).drop("_doc")

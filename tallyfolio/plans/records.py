@@ -3,9 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyfolio.functions.records import (
-    itemised_tax, line_sum, normalize, parse_response, reconcile, response_fault,
-    response_invoice)
+from tallyfolio.functions.records import conform, itemised_tax, line_sum, normalize, reconcile
 from tallyfolio.functions.scoring import (
     FIELD_WEIGHTS, field_correct, item_f1, item_precision, item_recall, matched_items)
 from tallyfolio.functions.text import norm_currency, norm_date, norm_str
@@ -61,9 +59,7 @@ def reconcile_records(spark, sf_dir):
 
 
 def schema_conformance(spark, sf_dir):
-    r = T.responses(spark, sf_dir).select("job_id", parse_response(F.col("first")).alias("doc"))
-    r = r.withColumn("fault", response_fault(F.col("doc")))
-    r = r.withColumn("inv", F.when(F.col("fault").isNull(), response_invoice(F.col("doc"))))
+    r = conform(T.responses(spark, sf_dir).select("job_id", "first"), "first").withColumnRenamed("invoice", "inv")
     return r.select("job_id", text("fault").alias("fault"), F.col("inv.total").alias("total"),
                     F.col("inv.tax").alias("tax"), text("inv.vendor").alias("vendor"),
                     F.coalesce(F.size("inv.line_items"), F.lit(-1)).cast("bigint").alias("n_items"),

@@ -115,20 +115,19 @@ VALID = {"invoice_number": "INV-1", "total": 100.0, "line_items": [{"description
     ({"line_items": [5]}, "line_items: not an object"), ([1], "not an object"), ("text", "not an object")])
 def test_conformance(spark, given, fault):
     df = spark.createDataFrame([(json.dumps(given),)], "v string")
-    inv, why = R.conform(F.col("v"))
-    row = df.select(inv.alias("inv"), why.alias("why")).first()
-    assert row.why == fault
-    assert (row.inv is None) == (fault is not None)
+    row = R.conform(df, "v").first()
+    assert row.fault == fault
+    assert (row.invoice is None) == (fault is not None)
 
 
 def test_conformance_of_broken_text(spark):
-    got = column(spark, ["", None, "{", '{"total": 1'], lambda v: R.conform(v)[1])
-    assert got == ["not JSON"] * 4
+    df = spark.createDataFrame([("",), (None,), ("{",), ('{"total": 1',)], "v string")
+    assert [r.fault for r in R.conform(df, "v").collect()] == ["not JSON"] * 4
 
 
 def test_conforming_values_are_typed(spark):
     text = json.dumps({"total": "46.11", "tax": 2, "line_items": [{"description": "a", "amount": "1.5"}]})
-    row = spark.createDataFrame([(text,)], "v string").select(R.conform(F.col("v"))[0].alias("i")).first().i
+    row = R.conform(spark.createDataFrame([(text,)], "v string"), "v").first().invoice
     assert (row.total, row.tax, row.vendor, row.line_items[0].amount) == (46.11, 2.0, None, 1.5)
-    again = spark.createDataFrame([('{"total":1}',)], "v string").select(R.conform(F.col("v"))[0].alias("i")).first().i
+    again = R.conform(spark.createDataFrame([('{"total":1}',)], "v string"), "v").first().invoice
     assert again.line_items == []
