@@ -156,8 +156,8 @@ def gold_documents(spark, sf_dir):
 
 
 def gold_page_gaps(spark, sf_dir):
-    """Gold records matched with the pages there are (as many as documents have lines at most
-    once in seven): how many found theirs and how many did not."""
+    """Gold records matched with the pages at hand, which stop at five: how many found theirs,
+    how many did not."""
     pages = T.table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") < 6).select(
         F.col("l_linenumber").alias("page")).distinct()
     gold = G.parse_gold(gold_files(spark, sf_dir))
