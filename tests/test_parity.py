@@ -8,13 +8,14 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry_points
+from tallyfolio.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
 SECTION = ("reconcile_orders", "split_documents", "job_outcomes", "job_partial_update", "lifecycle_violations",
            "strategy_comparison", "stream_live_status", "model_calls", "field_checks")
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 CHOSEN = sorted(QUERIES) if os.environ.get("TALLYFOLIO_PARITY") == "all" else SECTION
 
 
@@ -31,6 +32,11 @@ def test_every_query_has_a_twin():
     assert set(ORACLE) == set(QUERIES)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
