@@ -1,9 +1,9 @@
 """The registered queries of the corpus operators, and SQL twins where SQL can express them."""
 from __future__ import annotations
 
-from tallyfolio.llm import quality
+from tallyfolio.llm import mixing, quality, simhash
 
-_PARTS = (quality,)
+_PARTS = (quality, simhash, mixing)
 
 
 def queries() -> dict:
