@@ -2,9 +2,11 @@
 
 Documents of a source are shuffled by a hash of their id. The j-th copy of a document
 finishes at the virtual time (words of the source up to and with it) / (target of the
-source); copies of all sources are sorted by that time and taken until the total budget is
-used up. At time 1 every source has spent its target, so each ends within a document or
-so of it. A document is taken three times at most.
+source), less the time of half its own words: it counts as served when its middle word is, so
+that a long document at the end goes to the nearer side of the target. Copies of all sources
+are sorted by that time and taken until the total budget is used up. At time 1 every source
+has spent its target, so each ends within half a document or so of it. A document is taken
+three times at most.
 
 Running totals never stand in one task: rows are range-partitioned once into a table, each
 block is summed on its own, and the sums before a block (one row per block) are added.
@@ -72,7 +74,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
 
 
 def _finish(copy: Column) -> Column:
-    return (copy * F.col("source_size") + F.col("spent")) / F.col("target")
+    return (2 * (copy * F.col("source_size") + F.col("spent")) - F.col("size")) / (2 * F.col("target"))
+
+
+def _turn(finish: Column, rank: Column, copy: Column, place: Column) -> Column:
+    """Where a copy stands in the line; no two copies share it."""
+    return F.struct(finish.cast("double").alias("finish"), rank.cast("bigint").alias("rank"),
+                    copy.cast("bigint").alias("copy"), place.cast("bigint").alias("place"))
 
 
 def schedule(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
@@ -86,16 +94,17 @@ def schedule(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
         "rank", "place", "size", "source_size", "spent", "target",
         F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
     offers = offers.select(_finish(F.col("copy")).alias("finish"), "rank", "copy", "place", "size")
-    line = ("finish", "rank", "copy", "place")
-    served = running(offers, "mix-line", [F.col(c) for c in line], {"used": F.col("size")})
+    served = running(offers, "mix-line", [F.col(c) for c in ("finish", "rank", "copy", "place")],
+                     {"used": F.col("size")})
     budget = queue.agg(F.sum("size").alias("n")).first()["n"] or 0
-    last = served.filter(F.col("used") <= budget).agg(F.max(F.struct(*line)).alias("cut")).first()["cut"]
+    last = served.filter(F.col("used") <= budget).agg(
+        F.max(_turn(F.col("finish"), F.col("rank"), F.col("copy"), F.col("place"))).alias("cut")).first()["cut"]
     if last is None:
         return queue.withColumn("copies", F.lit(0))
-    cut = F.struct(F.lit(last["finish"]), F.lit(last["rank"]), F.lit(last["copy"]), F.lit(last["place"]))
+    cut = _turn(*[F.lit(x) for x in last])
     taken = F.lit(0)
     for copy in range(most):
-        turn = F.struct(_finish(F.lit(copy)), F.col("rank"), F.lit(copy), F.col("place"))
+        turn = _turn(_finish(F.lit(copy)), F.col("rank"), F.lit(copy), F.col("place"))
         taken = taken + F.when(turn <= cut, 1).otherwise(0)
     live = (F.col("size") > 0) & (F.col("target") > 0)
     return queue.withColumn("copies", F.when(live, taken).otherwise(0))
@@ -146,7 +155,7 @@ queue AS (
   FROM sizes s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
   WINDOW q AS (PARTITION BY rank ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS UNBOUNDED PRECEDING)),
 offers AS (
-  SELECT doc_id, rank, place, copy, size, CAST(copy * source_size + spent AS DOUBLE) / target AS finish
+  SELECT doc_id, rank, place, copy, size, CAST(2 * (copy * source_size + spent) - size AS DOUBLE) / (2 * target) AS finish
   FROM queue, (VALUES (0), (1), (2)) c(copy) WHERE size > 0 AND target > 0),
 served AS (
   SELECT *, sum(size) OVER (ORDER BY finish, rank, copy, place ROWS UNBOUNDED PRECEDING) AS used FROM offers),
