@@ -1,9 +1,9 @@
 """The registered queries of the corpus operators, and SQL twins where SQL can express them."""
 from __future__ import annotations
 
-from tallyfolio.llm import mixing, quality, simhash
+from tallyfolio.llm import mixing, quality, secrets, simhash
 
-_PARTS = (quality, simhash, mixing)
+_PARTS = (quality, simhash, secrets, mixing)
 
 
 def queries() -> dict:
