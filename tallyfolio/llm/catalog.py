@@ -1,9 +1,9 @@
 """The registered queries of the corpus operators, and SQL twins where SQL can express them."""
 from __future__ import annotations
 
-from tallyfolio.llm import mixing, pair_index, quality, secrets, simhash
+from tallyfolio.llm import mixing, pair_index, prefix_counts, quality, secrets, simhash
 
-_PARTS = (quality, simhash, secrets, mixing, pair_index)
+_PARTS = (quality, simhash, secrets, mixing, pair_index, prefix_counts)
 
 
 def queries() -> dict:
