@@ -66,7 +66,7 @@ class PairIndex:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.plain = [self.token.get(i, "") for i in range(self.size)]
         self.digits = [str(i) for i in range(self.size)]
-        self.texts = UnitValues(self.encode_units, self.specials, spaced=False)
+        self.texts = UnitValues(self.encode_units, b"".join, self.specials, spaced=False)
         self.special_bytes = {t: np.array([i], self.kind).tobytes() for t, i in self.specials.items()}
 
     # -------------------------------------------------------------- words
@@ -171,7 +171,7 @@ class PairIndex:
     def encode_bytes(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Ids of each whole text, little-endian."""
         for segments in self.texts.of(texts):
-            yield b"".join([self.special_bytes[s] if i % 2 else b"".join(s) for i, s in enumerate(segments)])
+            yield b"".join([self.special_bytes[s] if i % 2 else s for i, s in enumerate(segments)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_bytes([text])), self.kind).tolist()

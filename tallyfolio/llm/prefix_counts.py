@@ -68,7 +68,7 @@ class PrefixCounter:
             self.lengths.setdefault(c, []).append(n)
         for v in self.lengths.values():
             v.sort()
-        self.texts = UnitValues(self.count_units, self.specials)
+        self.texts = UnitValues(self.count_units, sum, self.specials)
         self._beside: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
@@ -177,9 +177,10 @@ class PrefixCounter:
         counts = self.count_pieces({p for pieces in cut for p in pieces})
         return [sum([counts[p] for p in pieces]) for pieces in cut]
 
-    def counts(self, texts: Iterable[str]) -> Iterator[list[list[int] | str]]:
-        """Per text its segments: the counts of its units, and special strings between them."""
-        return self.texts.of(texts)
+    def counts(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Per text the counts of its segments; special strings, in the odd places, count one."""
+        for segments in self.texts.of(texts):
+            yield [1 if i % 2 else s for i, s in enumerate(segments)]
 
     def unit_prefixes(self, unit: str) -> list[int]:
         """Counts at every code point of a unit, as if the text ended there."""
@@ -233,28 +234,25 @@ class PrefixCounter:
         """Tokens of a short text whose special strings, if any, are ordinary."""
         return sum(self.count_units(self.texts.units(text)))
 
-    def cut_for(self, text: str, budget: int, segments: list[list[int] | str] | None = None) -> int:
+    def cut_for(self, text: str, budget: int, totals: list[int] | None = None) -> int:
         """Code points of the longest prefix of at most ``budget`` tokens.
 
-        Given the unit counts, only the unit that crosses the budget is looked into.
+        Given the counts of the segments, only the units up to the budget are looked at.
         """
-        segments = next(self.counts([text])) if segments is None else segments
+        totals = next(self.counts([text])) if totals is None else totals
         before = chars = 0
-        for i, (values, raw) in enumerate(zip(segments, self.texts.segments(text))):
-            total = 1 if i % 2 else sum(values)
+        for i, (total, raw) in enumerate(zip(totals, self.texts.segments(text))):
             if before + total <= budget:
                 before, chars = before + total, chars + len(raw)
                 continue
             if i % 2:
                 counts = self.prefix_counts(text[:chars + len(raw)])
                 return int(np.flatnonzero(counts <= budget)[-1])
-            ends = np.cumsum(values) + before
-            k = int(np.searchsorted(ends, budget, "right"))
-            units = self.texts.units(raw)
-            inner = self.unit_prefixes(units[k])
-            start = int(ends[k - 1]) if k else before
-            return chars + sum(map(len, units[:k])) + max(j for j, c in enumerate(inner) if start + c <= budget)
-        # Everything fits, and no longer prefix exists.
+            for unit, n in self.texts.each(raw):
+                if before + n > budget:
+                    inner = self.unit_prefixes(unit)
+                    return chars + max(j for j, c in enumerate(inner) if before + c <= budget)
+                before, chars = before + n, chars + len(unit)
         return chars
 
 
@@ -279,9 +277,9 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", li
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, cut = [], []
-            for text, segments in zip(texts, counter.counts(texts)):
-                n.append(sum(1 if i % 2 else sum(s) for i, s in enumerate(segments)))
-                cut.append(len(text) if n[-1] <= limit else counter.cut_for(text, limit, segments))
+            for text, totals in zip(texts, counter.counts(texts)):
+                n.append(sum(totals))
+                cut.append(len(text) if n[-1] <= limit else counter.cut_for(text, limit, totals))
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()),

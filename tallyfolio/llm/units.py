@@ -13,28 +13,36 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-# Characters of text whose units are collected before new ones are worked out.
-GROUP_CHARS = 16_000_000
+# Characters of text whose new units are worked out together.
+GROUP_CHARS = 6_000_000
 KEPT_UNITS = 800_000
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 class UnitValues:
-    """Values per unit; ``work`` gets a list of distinct units and returns their values.
+    """Values per unit: ``work`` gets distinct units, ``fold`` joins the values of a text.
 
     ``specials`` are strings taken out of the text first. With ``spaced`` a unit includes the
-    white space before it; without, white space only separates units.
+    white space before it; without, white space only separates units. ``fold`` must reject
+    None with a TypeError, as ``sum`` and ``b"".join`` do.
     """
 
-    def __init__(self, work: Callable[[list[str]], list], specials: Iterable[str] = (), spaced: bool = True,
-                 kept: int = KEPT_UNITS):
-        self.work, self.spaced, self.kept = work, spaced, kept
+    def __init__(self, work: Callable[[list[str]], list], fold: Callable[[list], object],
+                 specials: Iterable[str] = (), spaced: bool = True, kept: int = KEPT_UNITS):
+        self.work, self.fold, self.spaced, self.kept = work, fold, spaced, kept
         specials = sorted(specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.hint = specials[0][:2] if specials and len({s[:2] for s in specials}) == 1 else ""
-        # Values by unit less its first space, and by whole unit.
+        # Values by unit less its first space, and by whole unit; None: cut the text with care.
         self.short: dict[str, object] = {}
         self.whole: dict[str, object] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.short.clear()
+        self.whole.clear()
+        if not self.spaced:
+            self.short[""] = self.fold([])
 
     def segments(self, text: str) -> list[str]:
         """Text and special strings in turn; the odd places hold the special strings."""
@@ -42,6 +50,10 @@ class UnitValues:
             return [text]
         return self.special.split(text)
 
+    def units(self, segment: str) -> list[str]:
+        """The units themselves; joined they are the segment."""
+        return _BOUNDARY.split(segment) if segment else []
+
     def _keys(self, segment: str) -> list[str]:
         if self.spaced:
             return segment.replace("\n", " \n").split(" ")
@@ -52,62 +64,47 @@ class UnitValues:
         """Whether the place after this key starts a unit."""
         return bool(key) and not key[-1].isspace()
 
-    def _need(self, texts: list[str]) -> tuple[set[str], set[str]]:
-        short: set[str] = set()
-        whole: set[str] = set()
-        for text in texts:
-            for segment in self.segments(text)[::2]:
-                keys = self._keys(segment)
-                if self.spaced:
-                    whole.add(keys[0])
-                    keys[0] = "x"
-                short.update(keys)
-        return short, whole
-
-    def _learn(self, texts: list[str]) -> None:
-        short, whole = self._need(texts)
-        new_short, new_whole = short - self.short.keys(), whole - self.whole.keys()
-        if len(self.short) + len(self.whole) + len(new_short) + len(new_whole) > self.kept:
-            self.short.clear()
-            self.whole.clear()
-            new_short, new_whole = short, whole
+    def _known(self, keys: list[str]) -> list:
+        values = list(map(self.short.get, keys))
+        if self.spaced:
+            values[0] = self.whole.get(keys[0])
+        return values
+
+    def _folded(self, keys: list[str]) -> object:
+        try:
+            return self.fold(self._known(keys))
+        except TypeError:
+            return None
+
+    def _learn(self, open_: list[list[str]]) -> None:
+        """Work out what the texts still open need."""
+        first = {keys[0] for keys in open_} if self.spaced else set()
+        short = {k for keys in open_ for k in (keys[1:] if self.spaced else keys) if k not in self.short}
+        whole = {k for k in first if k not in self.whole}
+        if len(self.short) + len(self.whole) + len(short) + len(whole) > self.kept:
+            self._clear()
+            whole = first
+            short = {k for keys in open_ for k in (keys[1:] if self.spaced else keys) if k not in self.short}
         if not self.spaced:
-            todo = [k for k in new_short if k]
+            todo = list(short)
             self.short.update(zip(todo, self.work(todo)))
             return
-        safe = [k for k in new_short if self._safe(k)]
-        rest = [k for k in new_whole if k]
-        values = self.work([k if k[0] == "\n" else " " + k for k in safe] + rest)
+        safe = [k for k in short if self._safe(k)]
+        start = [k for k in whole if self._safe(k)]
+        values = self.work([k if k[0] == "\n" else " " + k for k in safe] + start)
         self.short.update(zip(safe, values))
-        self.whole.update(zip(rest, values[len(safe):]))
-        # No value: the text that holds such a key is cut with more care.
-        self.short.update((k, None) for k in new_short if not self._safe(k))
-
-    def _careful(self, segment: str) -> list:
-        found = _BOUNDARY.split(segment)
-        new = list({u for u in found if u not in self.whole})
-        values = dict(zip(new, self.work(new)))
-        return [values[u] if u in values else self.whole[u] for u in found]
-
-    def units(self, segment: str) -> list[str]:
-        """The units themselves; joined they are the segment."""
-        return _BOUNDARY.split(segment) if segment else []
-
-    def _values(self, segment: str) -> list:
-        if not segment:
-            return []
-        keys = self._keys(segment)
-        if not self.spaced:
-            return [self.short[k] for k in keys if k]
-        first = keys[0]
-        if not self._safe(first):
-            return self._careful(segment)
-        keys[0] = first = self.whole[first]
-        values = list(map(self.short.get, keys[1:]))
-        return self._careful(segment) if None in values else [first, *values]
-
-    def of(self, texts: Iterable[str]) -> Iterator[list[list | str]]:
-        """Per text its segments: lists of unit values, and special strings between them."""
+        self.whole.update(zip(start, values[len(safe):]))
+        self.short.update((k, None) for k in short if not self._safe(k))
+        self.whole.update((k, None) for k in whole if not self._safe(k))
+
+    def _careful(self, segment: str) -> object:
+        found = self.units(segment)
+        distinct = list(set(found))
+        values = dict(zip(distinct, self.work(distinct)))
+        return self.fold([values[u] for u in found])
+
+    def of(self, texts: Iterable[str]) -> Iterator[list]:
+        """Per text its segments: folded values, and special strings between them."""
         group: list[str] = []
         size = 0
         for text in texts:
@@ -118,8 +115,33 @@ class UnitValues:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[str]) -> Iterator[list[list | str]]:
-        if group:
-            self._learn(group)
+    def _group(self, group: list[str]) -> list[list]:
+        out, later = [], []
         for text in group:
-            yield [s if i % 2 else self._values(s) for i, s in enumerate(self.segments(text))]
+            parts: list = self.segments(text)
+            for i in range(0, len(parts), 2):
+                segment = parts[i]
+                keys = self._keys(segment)
+                parts[i] = self._folded(keys)
+                if parts[i] is None:
+                    later.append((parts, i, segment, keys))
+            out.append(parts)
+        if later:
+            self._learn([keys for *_, keys in later])
+            for parts, i, segment, keys in later:
+                value = self._folded(keys)
+                parts[i] = self._careful(segment) if value is None else value
+        return out
+
+    def each(self, segment: str) -> Iterator[tuple[str, object]]:
+        """Unit by unit, with values; for those who stop early."""
+        for unit in self.units(segment):
+            if self.spaced and unit[0] == "\n":
+                value = self.short.get(unit)
+            elif self.spaced and unit[0] == " " and unit[1:2] != "\n":
+                value = self.short.get(unit[1:])
+            else:
+                value = self.whole.get(unit)
+            if value is None:
+                value = self.work([unit])[0]
+            yield unit, value
