@@ -1,9 +1,9 @@
 """The registered queries of the corpus operators, and SQL twins where SQL can express them."""
 from __future__ import annotations
 
-from tallyfolio.llm import mixing, pair_index, prefix_counts, quality, secrets, simhash, token_files
+from tallyfolio.llm import ball_tree, mixing, pair_index, prefix_counts, quality, secrets, simhash, token_files
 
-_PARTS = (quality, simhash, secrets, mixing, pair_index, prefix_counts, token_files)
+_PARTS = (quality, simhash, secrets, mixing, pair_index, prefix_counts, token_files, ball_tree)
 
 
 def queries() -> dict:
