@@ -177,7 +177,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = TOP, shard_rows: int =
         return rows.mapInArrow(_search_shards(k), "row bigint, query_id bigint, vec_id bigint, score bigint")
 
     def to(shard: Column, asked: DataFrame, floor: Column) -> DataFrame:
-        return asked.select(shard.cast("int").alias("shard"), F.lit(1).alias("kind"), "row", "id", "v",
+        return asked.select(shard.alias("shard"), F.lit(1).alias("kind"), "row", "id", "v",
                             floor.alias("floor"))
 
     pilot = written(ask(dealt.filter("shard = 0"), to(F.lit(0), queries, none)), "top-pilot")
