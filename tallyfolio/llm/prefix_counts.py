@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tallyfolio.llm.common import documents, fresh
 from tallyfolio.llm.units import UnitValues
@@ -302,7 +303,7 @@ def prefix_table(docs: DataFrame, text: str = "text", out: str = "prefix_tokens"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int64()))],
                                              [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "array<bigint>"))
+    return docs.mapInArrow(run, docs.schema.add(out, ArrayType(LongType())))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
