@@ -1,9 +1,9 @@
 """The registered queries of the corpus operators, and SQL twins where SQL can express them."""
 from __future__ import annotations
 
-from tallyfolio.llm import ball_tree, mixing, pair_index, prefix_counts, quality, secrets, simhash, token_files, toxicity
+from tallyfolio.llm import ball_tree, mixing, pair_index, pii, prefix_counts, quality, secrets, simhash, token_files, toxicity
 
-_PARTS = (quality, simhash, secrets, mixing, pair_index, prefix_counts, token_files, ball_tree, toxicity)
+_PARTS = (quality, simhash, secrets, mixing, pair_index, pii, prefix_counts, token_files, ball_tree, toxicity, pii)
 
 
 def queries() -> dict:
