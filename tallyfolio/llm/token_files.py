@@ -37,6 +37,8 @@ from tallyfolio.session import scratch_path
 SEQUENCE = 1024
 BATCH_ROWS = 1024
 END_ID = 2
+# Units in one call of the library.
+RUN = 200
 
 
 class Encoder:
@@ -53,14 +55,34 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_bytes = {t: np.array([i], self.kind).tobytes() for t, i in self.specials.items()}
+        # Bytes of each token: its characters stand for one byte each.
+        self.width = np.zeros(self.size, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.width[i] = len(token)
         self.texts = UnitValues(self.encode_units, b"".join, self.specials)
 
+    def _library(self, texts: list[str]) -> Iterator[list[int]]:
+        for i in range(0, len(texts), 5_000):
+            for found in self.library.encode_batch_fast(texts[i:i + 5_000], add_special_tokens=False):
+                yield found.ids
+
     def encode_units(self, units: list[str]) -> list[bytes]:
-        kind, out = self.kind, []
-        for i in range(0, len(units), 20_000):
-            found = self.library.encode_batch_fast(units[i:i + 20_000], add_special_tokens=False)
-            out += [np.array(e.ids, kind).tobytes() for e in found]
-        return out
+        """Ids of each unit. Units that start with a space go to the library in runs.
+
+        No token spans the place between two of them, so the widths of the tokens tell which
+        ids belong to which unit.
+        """
+        apart = [u for u in units if u[0] != " " or u[-1].isspace()]
+        value = {u: np.array(ids, self.kind).tobytes() for u, ids in zip(apart, self._library(apart))}
+        runs = [u for u in units if u not in value]
+        cut = [runs[i:i + RUN] for i in range(0, len(runs), RUN)]
+        for run, found in zip(cut, self._library(["".join(r) for r in cut])):
+            ids = np.array(found, self.kind)
+            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in run])
+            stop = ((np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.kind.itemsize).tolist()
+            data = ids.tobytes()
+            value.update(zip(run, [data[i:j] for i, j in zip([0, *stop], stop)]))
+        return [value[u] for u in units]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for segments in self.texts.of(texts):
