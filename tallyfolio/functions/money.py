@@ -21,11 +21,14 @@ def two_decimals(x: Column) -> Column:
 def plain_number(x: Column) -> Column:
     """A double written without exponent, with at least one decimal; absent is ``None``.
 
-    Spark switches to exponent form at ten million, so larger values go through DECIMAL.
+    Spark switches to exponent form at ten million and below a thousandth, so such values go
+    through DECIMAL; below a ten-thousandth the exponent form is meant.
     """
+    small = F.regexp_replace(x.cast("decimal(28,20)").cast("string"), r"0+\z", "")
     wide = F.regexp_replace(x.cast("decimal(28,6)").cast("string"), r"(\.\d+?)0+\z", "$1")
     return (F.when(x.isNull(), "None")
             .when(F.abs(x) >= 1e7, wide)
+            .when((F.abs(x) < 1e-3) & (F.abs(x) >= 1e-4), small)
             .otherwise(x.cast("string")))
 
 

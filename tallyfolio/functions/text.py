@@ -115,3 +115,11 @@ def data_uri(content: Column) -> Column:
     """PNG bytes as a data URI (the line breaks of chunked base64 are taken out)."""
     return F.concat(F.lit("data:image/png;base64,"),
                     F.regexp_replace(F.base64(content), r"\r\n", ""))
+
+
+def quoted_name(name: Column) -> Column:
+    """A name in quotes as the trail prints it (double ones around a single quote); absent is None."""
+    mark = F.when(name.contains("'") & ~name.contains('"'), '"').otherwise("'")
+    body = F.regexp_replace(name, r"\\", r"\\\\")
+    body = F.when(name.contains("'") & name.contains('"'), F.replace(body, F.lit("'"), F.lit("\\'"))).otherwise(body)
+    return F.coalesce(F.concat(mark, body, mark), F.lit("None"))

@@ -5,6 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyfolio.operators.staging import spread_join
 from tallyfolio.schemas import PENDING, RUNNING, TERMINAL
 
 ORDER = ("ts", "seq")
@@ -64,13 +65,12 @@ def overlay_jobs(live: DataFrame, durable: DataFrame, key: str = "job_id") -> Da
 
 def overlay_events(live: DataFrame, durable: DataFrame, key: str = "job_id") -> DataFrame:
     """A job's live events if it has any, else its durable ones."""
-    known = live.select(key).distinct()
-    return live.unionByName(durable.join(known, key, "left_anti"))
+    return live.unionByName(spread_join(durable, live.select(key).distinct(), key, "left_anti"))
 
 
 def with_known_jobs(events: DataFrame, jobs: DataFrame, key: str = "job_id") -> DataFrame:
     """Events of jobs that exist; others are dropped."""
-    return events.join(jobs.select(key).distinct(), key, "left_semi")
+    return spread_join(events, jobs.select(key).distinct(), key, "left_semi")
 
 
 def oldest_first(events: DataFrame, key: str = "job_id") -> DataFrame:
@@ -78,6 +78,22 @@ def oldest_first(events: DataFrame, key: str = "job_id") -> DataFrame:
     return events.orderBy(key, *ORDER)
 
 
+def numbered(events: DataFrame, key: str = "job_id", order: tuple[str, ...] = ORDER, block: str = "hour") -> DataFrame:
+    """Add ``position``: the place of an event in its job's trail, from one.
+
+    Events are numbered within (job, time block); the blocks before, one row each, are added.
+    """
+    from pyspark.sql import Window
+
+    blocked = events.withColumn("_block", F.date_trunc(block, order[0]))
+    sizes = blocked.groupBy(key, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order))
+    return (blocked.withColumn("_inner", inner).join(starts, [key, "_block"])
+            .withColumn("position", F.col("_before") + F.col("_inner")).drop("_block", "_inner", "_before"))
+
+
 def terminal(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("status").isin(*TERMINAL))
 

@@ -13,3 +13,15 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread_join(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner", spread: int = 16) -> DataFrame:
+    """Join ``rows`` with a ``summary`` of one row per key so that no key is one task's work.
+
+    The rows of a key are dealt to ``spread`` parts by their content, and the summary is repeated
+    for each part. An aggregate stands between the summary and its shuffle, so that adaptive
+    execution would not split a hot key by itself.
+    """
+    parts = F.array(*[F.lit(i) for i in range(spread)])
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int"))
+    return dealt.join(summary.withColumn("_part", F.explode(parts)), [key, "_part"], how).drop("_part")

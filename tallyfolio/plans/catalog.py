@@ -28,7 +28,9 @@ def _with_tables(sql: str, ctes: dict[str, str]) -> str:
     collect(sql)
     if not needed:
         return sql
-    head = ",\n".join(f"{name} AS ({ctes[name]})" for name in ctes if name in needed)
+    # These are wide and read several times: worked out once.
+    once = ("responses", "deciding", "conformed")
+    head = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in once else ''}({ctes[name]})" for name in ctes if name in needed)
     return f"WITH {head}\n{sql}"
 
 

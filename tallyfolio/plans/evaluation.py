@@ -12,14 +12,22 @@ from tallyfolio.sources import gold as G
 from tallyfolio.sources.reports import detail_text, ranking_text
 
 
+# Invented models of the fixture.
+MODELS = [
+    ("maple-vision", 0.3, 0.9, True, True), ("birch-text", 0.4, 0.4, False, True),
+    ("alder-vision", 1.25, 3.5, True, True), ("cedar-vision", 12.0, 48.0, True, False),
+    ("rowan-text", 0.1, 0.25, False, True),
+]
+
+
 def configs(spark: SparkSession) -> DataFrame:
-    return B.config_matrix(B.registry(spark))
+    return B.config_matrix(B.registry(spark, MODELS))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scored prediction as a run: its part decides the configuration, its line the trial."""
-    names = F.array(*[F.lit(f"{reader}:{model[0]}") for model in B.MODELS for reader in B.READERS])
-    config = F.get(names, (F.col("p") % len(B.MODELS * 2)).cast("int"))
+    names = F.array(*[F.lit(f"{reader}:{model[0]}") for model in MODELS for reader in B.READERS])
+    config = F.get(names, (F.col("p") % (2 * len(MODELS))).cast("int"))
     failed = F.col("variant") == 5
     return scored(spark, sf_dir).select(
         config.alias("config"), (F.col("n") % 3 + 1).alias("trial"), F.col("job_id").alias("doc"),
@@ -30,7 +38,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runnable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs(spark, sf_dir).join(F.broadcast(B.runnable(configs(spark)).select("config")), "config", "left_semi")
+    return runs(spark, sf_dir).join(B.runnable(configs(spark)).select("config"), "config", "left_semi")
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +52,14 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ benchmark
 
 def skipped_runs(spark, sf_dir):
-    """Runs per configuration that cannot run, with the reason."""
-    plain = T.bills(spark, sf_dir).select("p")
-    names = F.array(*[F.lit(f"{reader}:{model[0]}") for model in B.MODELS for reader in B.READERS])
-    per = plain.groupBy(F.get(names, (F.col("p") % len(B.MODELS * 2)).cast("int")).alias("config")).agg(
-        F.count("*").alias("n_runs"))
-    return (per.join(configs(spark), "config").filter(F.col("skip_reason").isNotNull())
-            .select("config", "reader", "model", "skip_reason", "n_runs"))
+    """Runs per configuration that cannot take place, with the reason."""
+    plain = T.bills(spark, sf_dir).select("p", "flag")
+    names = F.array(*[F.lit(f"{reader}:{model[0]}") for model in MODELS for reader in B.READERS])
+    per = plain.groupBy(F.get(names, (F.col("p") % (2 * len(MODELS))).cast("int")).alias("config"),
+                        (F.col("flag") != "R").alias("has_text")).agg(F.count("*").alias("n"))
+    why = B.run_skip_reason(F.col("has_text"))
+    return (per.join(configs(spark), "config").withColumn("skip_reason", why).filter(F.col("skip_reason").isNotNull())
+            .groupBy("config", "reader", "model", "skip_reason").agg(F.sum("n").alias("n_runs")))
 
 
 def trial_summaries(spark, sf_dir):
@@ -71,9 +80,9 @@ def best_config(spark, sf_dir):
 
 def wanted_configs(spark, sf_dir):
     """Only the configurations asked for by name: those of one model."""
-    wanted = configs(spark).filter(F.col("model") == "vision-8b").select("config")
+    wanted = configs(spark).filter(F.col("model") == "alder-vision").select("config")
     chosen = B.runnable(configs(spark), wanted)
-    mine = runs(spark, sf_dir).join(F.broadcast(chosen.select("config")), "config", "left_semi")
+    mine = runs(spark, sf_dir).join(chosen.select("config"), "config", "left_semi")
     return B.summarize_trials(mine, chosen).select(
         "config", F.col("trial").cast("bigint").alias("trial"), "n_docs", "overall")
 
@@ -87,7 +96,7 @@ def report_detail(spark, sf_dir):
     t = trials(spark, sf_dir)
     detail = B.last_trial_detail(runnable_runs(spark, sf_dir), t)
     ranked = B.rank_configs(B.average_trials(t))
-    return detail_text(detail, ranked).select(F.col("rank").cast("bigint").alias("rank"), "line")
+    return detail_text(detail, ranked).select(F.col("rank").cast("bigint").alias("rank"), "doc", "line")
 
 
 def release_gate(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyfolio.operators import jobs as J
 from tallyfolio.plans import tables as T
 from tallyfolio.plans.records import flat_jobs, settled, text
+from tallyfolio.schemas import INVOICE
 from tallyfolio.session import scratch_path
 from tallyfolio.sources import jobstore as S
 from tallyfolio.streaming import jobs as X
@@ -142,7 +143,8 @@ def known_job_events(spark, sf_dir):
 
 
 def trails_oldest_first(spark, sf_dir):
-    return J.oldest_first(job_log(spark, sf_dir)).select("job_id", shown("ts").alias("ts"), "seq", "event_type")
+    trails = J.numbered(J.oldest_first(job_log(spark, sf_dir)))
+    return trails.select("job_id", "position", shown("ts").alias("ts"), "seq", "event_type")
 
 
 def lifecycle_violations(spark, sf_dir):
@@ -172,7 +174,7 @@ def appended_events(spark, sf_dir):
         moment(NOW).alias("ts"), F.lit("PAGES").alias("stage"),
         F.col("n_images").cast("string").alias("detail")))).otherwise(F.array()).alias("events")))
     both = S.received_events(subs, moment(NOW)).unionByName(pages)
-    return both.groupBy("stage").agg(F.count("*").alias("n_events"), F.countDistinct("job_id").alias("n_jobs"))
+    return both.select("event_id", "job_id", F.col("seq").cast("bigint").alias("seq"), "stage", "detail")
 
 
 def _job_rows(spark, sf_dir) -> DataFrame:
@@ -208,65 +210,91 @@ def job_lookup(spark, sf_dir):
         args=S.bound({"pages": 2, "has_text": False}), subs=T.submissions(spark, sf_dir))
 
 
+def job_by_id(spark, sf_dir):
+    """A stored job looked up by a bound id and decoded; here the job with the largest id."""
+    stored = S.stored_form(_job_rows(spark, sf_dir))
+    wanted = T.submissions(spark, sf_dir).agg(F.max("job_id")).first()[0]
+    stored.createOrReplaceTempView("stored_jobs_view")
+    return flat_jobs(S.get_job(spark, "stored_jobs_view", wanted).withColumnRenamed("id", "job_id"))
+
+
+def trail_by_id(spark, sf_dir):
+    """The trail of one job, looked up by a bound id, oldest first."""
+    subs = T.submissions(spark, sf_dir)
+    wanted = subs.agg(F.max("job_id")).first()[0]
+    S.received_events(subs, moment(NOW)).createOrReplaceTempView("stored_events_view")
+    trail = S.get_trail(spark, "stored_events_view", wanted)
+    return trail.select(shown("ts").alias("ts"), F.col("seq").cast("bigint").alias("seq"), "stage", "detail")
+
+
 # ------------------------------------------------------------------ streams
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+FILES_PER_BATCH = 64
 
 
-def _run(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A warehouse table as a stream, whether it is one file or a folder of part files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+            .parquet(f"{sf_dir}/{name}.parque[t]"))
+
+
+def _run(stream: DataFrame, name: str, writer=X.keep_batch) -> DataFrame:
     spark = stream.sparkSession
     base = scratch_path(spark, name)
-    query = X.write_batches(stream, X.keep_batch(f"{base}/out"), f"{base}/checkpoint", mode)
-    query.awaitTermination()
+    X.write_batches(stream, writer(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
 def stream_routing(spark, sf_dir):
     """Documents routed as they arrive."""
     from tallyfolio.plans.documents import line_pages
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    docs = _stream(spark, sf_dir, "documents")
     routed = X.route_arrivals(docs.select("doc_id", "text", line_pages(F.col("text")).alias("pages")))
-    out = _run(routed.select("doc_id", "reader", "was_scan", F.size("images").alias("n_images")), "append", "routing")
+    out = _run(routed.select("doc_id", "reader", "was_scan", F.size("images").alias("n_images")), "routing")
     return out.select("doc_id", "reader", "was_scan", F.greatest("n_images", F.lit(0)).cast("bigint").alias("n_images"))
 
 
 def stream_unique_events(spark, sf_dir):
     """Every event sent twice, kept once."""
-    twice = _event_stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    unique = X.unique_events(twice.withColumn("ts", F.col("ts").cast("timestamp")))
-    out = _run(unique.select("event_id", "event_type", "user_id"), "append", "unique")
-    return out.select("event_id", "event_type", "user_id")
+    twice = _stream(spark, sf_dir, "events").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    sent = twice.select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _run(sent, "unique", X.keep_new).select("event_id", "event_type", "user_id")
 
 
 def stream_live_status(spark, sf_dir):
-    log = job_of(_event_stream(spark, sf_dir)).filter(F.col("event_type") != "click")
-    live = X.live_status(log.withColumn("status", status_of(F.col("event_type"))))
-    out = X.current_status(_run(live, "update", "status"))
+    log = job_of(_stream(spark, sf_dir, "events")).filter(F.col("event_type") != "click")
+    rows = log.select("job_id", status_of(F.col("event_type")).alias("status"), "ts", "seq")
+    out = X.current_status(_run(rows, "status", X.keep_live))
     return out.select("job_id", "status", shown("ts").alias("ts"), "seq", "n_events")
 
 
 def stream_final_flush(spark, sf_dir):
     """Finished jobs to their three sinks; shows what the sinks hold."""
     base = scratch_path(spark, "flush")
-    ev = job_of(_event_stream(spark, sf_dir))
+    ev = job_of(_stream(spark, sf_dir, "events"))
+    nothing = F.lit(None).cast("string")
     finished = ev.select(
         F.concat_ws("-", "job_id", "seq").alias("job_id"), F.coalesce(status_of(F.col("event_type")), F.lit("RUNNING")).alias("status"),
-        F.concat(F.lit("statement_"), "seq", F.lit(".pdf")).alias("filename"),
+        F.concat(F.lit("statement_"), "seq", F.lit(".pdf")).alias("filename"), F.lit(False).alias("was_scan"),
+        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), nothing.alias("tier_used"),
+        F.lit(None).cast(INVOICE).alias("result"), F.array(F.col("event_type")).alias("warnings"), nothing.alias("error"),
         F.encode(F.col("value").cast("string"), "UTF-8").alias("content"),
         F.array(F.struct("ts", F.lit("RECEIVED").alias("stage"), F.lit("").alias("detail")),
-                F.struct("ts", F.col("event_type").alias("stage"), F.col("value").cast("string").alias("detail"))).alias("events"))
+                F.struct("ts", F.upper("event_type").alias("stage"), F.col("event_type").alias("detail"))).alias("events"))
     X.write_batches(finished, X.flush_finished(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
-    counts = [spark.read.parquet(f"{base}/out/{sink}").agg(F.count("*").alias("n_rows"),
-                                                           F.countDistinct("job_id").alias("n_jobs"))
-              .select(F.lit(sink).alias("sink"), "n_rows", "n_jobs") for sink in S.SINKS]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+    def sink(name: str, key: str, *columns: str) -> DataFrame:
+        value = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+        return spark.read.parquet(f"{base}/out/{name}").select(F.lit(name).alias("sink"), F.col(key).alias("key"), value.alias("value"))
+
+    return (sink("documents", "job_id", "path")
+            .unionByName(sink("jobs", "id", "status", "source_path", "was_scan", "result_json", "warnings_json"))
+            .unionByName(sink("audit_events", "event_id", "job_id", "seq", "stage", "detail")))
 
 
 QUERIES = {f.__name__: f for f in (
     job_state, job_state_as_of, job_partial_update, job_latest_rows, terminal_jobs, stale_jobs, job_overlay,
     trail_overlay, known_job_events, trails_oldest_first, lifecycle_violations, new_job_rows, received_events,
-    appended_events, stored_jobs, loaded_jobs, job_lookup, stream_routing, stream_unique_events,
+    appended_events, stored_jobs, loaded_jobs, job_lookup, job_by_id, trail_by_id, stream_routing, stream_unique_events,
     stream_live_status, stream_final_flush)}

@@ -37,6 +37,10 @@ CTES = {
                CASE event_type WHEN 'error' THEN {'v': 'event ' || seq}
                     WHEN 'purchase' THEN {'v': NULL::VARCHAR} END AS error
         FROM job_log""",
+    "flushed": """
+        SELECT *, '/documents/' || id || '/statement_' || seq || '.pdf' AS path
+        FROM (SELECT job_id || '-' || seq AS id, seq, ts, event_type, status FROM job_log
+              WHERE status IN ('SUCCEEDED', 'FAILED'))""",
     "newest_live": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn
                        FROM job_log WHERE user_id % 2 = 0) WHERE rn = 1""",
@@ -72,7 +76,9 @@ ORACLE = {
     "known_job_events": """
         SELECT job_id, seq, event_type FROM job_log
         WHERE job_id IN (SELECT job_id FROM job_log WHERE event_type = 'signup')""",
-    "trails_oldest_first": f"SELECT job_id, {shown('ts')} AS ts, seq, event_type FROM job_log",
+    "trails_oldest_first": f"""
+        SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS position, {shown('ts')} AS ts, seq,
+               event_type FROM job_log""",
     "lifecycle_violations": """
         SELECT job_id, seq, coalesce(previous, '') AS previous, status FROM (
             SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, seq) AS previous
@@ -83,11 +89,17 @@ ORACLE = {
     "new_job_rows": f"""
         SELECT job_id AS id, 'PENDING' AS status, coalesce(filename, '') AS filename, {shown(NOW)} AS created_at FROM submissions""",
     "received_events": f"""
-        SELECT sha256(job_id || '|0') AS event_id, job_id, 0::BIGINT AS seq, {shown(NOW)} AS ts, 'RECEIVED' AS stage,
-               'job created for ' || coalesce(filename, 'None') AS detail FROM submissions""",
-    "appended_events": """
-        SELECT 'RECEIVED' AS stage, count(*) AS n_events, count(DISTINCT job_id) AS n_jobs FROM submissions
-        UNION ALL SELECT 'PAGES', count(*), count(DISTINCT job_id) FROM submissions WHERE n_images > 0""",
+        SELECT sha256(job_id || '|' || {shown(NOW)} || '|RECEIVED|0') AS event_id, job_id, 0::BIGINT AS seq, {shown(NOW)} AS ts,
+               'RECEIVED' AS stage, 'job created for ' || coalesce('''' || filename || '''', 'None') AS detail FROM submissions""",
+    "appended_events": f"""
+        SELECT sha256(job_id || '|' || {shown(NOW)} || '|' || stage || '|0') AS event_id, job_id, 0::BIGINT AS seq, stage, detail
+        FROM (SELECT job_id, 'RECEIVED' AS stage, 'job created for ' || coalesce('''' || filename || '''', 'None') AS detail FROM submissions
+              UNION ALL SELECT job_id, 'PAGES', n_images::VARCHAR FROM submissions WHERE n_images > 0)""",
+    "job_by_id": "SELECT * FROM flat_jobs WHERE job_id = (SELECT max(job_id) FROM submissions)",
+    "trail_by_id": f"""
+        SELECT {shown(NOW)} AS ts, 0::BIGINT AS seq, 'RECEIVED' AS stage,
+               'job created for ' || coalesce('''' || filename || '''', 'None') AS detail
+        FROM submissions WHERE job_id = (SELECT max(job_id) FROM submissions)""",
     "stored_jobs": """
         SELECT job_id AS id, status, coalesce(rec.number, '') AS number, rec.total AS total,
                coalesce(rec.items[1].d, '') AS first_item, warn IS NULL AS no_warnings, coalesce(warn, '') AS warning
@@ -107,8 +119,10 @@ ORACLE = {
             SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn,
                    count(*) OVER (PARTITION BY job_id) AS n_events
             FROM job_log WHERE event_type <> 'click') WHERE rn = 1""",
-    "stream_final_flush": """
-        SELECT sink, n * CASE WHEN sink = 'audit_events' THEN 2 ELSE 1 END AS n_rows, n AS n_jobs
-        FROM (SELECT count(*) AS n FROM events WHERE event_type IN ('purchase', 'error')),
-             (VALUES ('documents'), ('jobs'), ('audit_events')) v(sink)""",
+    "stream_final_flush": f"""
+        SELECT 'documents' AS sink, id AS key, path AS value FROM flushed
+        UNION ALL SELECT 'jobs', id, status || '|' || path || '|false|-|["' || event_type || '"]' FROM flushed
+        UNION ALL SELECT 'audit_events', sha256(id || '|' || {shown('ts')} || '|RECEIVED|0'), id || '|0|RECEIVED|' FROM flushed
+        UNION ALL SELECT 'audit_events', sha256(id || '|' || {shown('ts')} || '|' || upper(event_type) || '|1'),
+               id || '|1|' || upper(event_type) || '|' || event_type FROM flushed""",
 }

@@ -179,7 +179,7 @@ LIMIT, SLOW, DOWN = ("'rate_limit'", "'rate limit reached'"), ("'timeout'", "'re
 
 CTES = {
     "bills": """
-        SELECT *, concat_ws('-', k, n, p, s) AS job_id, (k * 7 + p + n) % 20 AS variant,
+        SELECT *, concat_ws('-', k, n, p, s, qty, goods_c) AS job_id, (k * 7 + p + n) % 20 AS variant,
                net_c + tax_c + tip_c AS total_c,
                CASE WHEN flag = 'N' THEN tax_c // 3 ELSE 0 END AS tps_c,
                CASE flag WHEN 'A' THEN 'GST (5%)' WHEN 'N' THEN 'TVQ' ELSE 'Sales Tax' END AS tax_label,
@@ -274,7 +274,8 @@ CTES = {
                  WHEN variant = 14 THEN {call('tier-2', 'reconcile', 1, 'NULL', *SLOW)} END,
             CASE WHEN variant = 14 THEN {call('tier-2', 'reconcile', 2, 'NULL', *LIMIT)} END,
             CASE WHEN variant = 14 THEN {call('tier-2', 'reconcile', 3, 'NULL', *DOWN)} END
-        ], lambda x: x IS NOT NULL), recursive := true) FROM responses""",
+        ], lambda x: x IS NOT NULL AND NOT (p % 13 = 5 AND x.tier = 'tier-2') AND NOT (p % 17 = 3 AND x.attempt_no > 1)), recursive := true)
+        FROM responses""",
     "deciding": """
         SELECT * FROM (
             SELECT *, coalesce(error_class IN ('connection', 'timeout', 'rate_limit', 'server_error'), false) AS passing,
@@ -286,13 +287,14 @@ CTES = {
     "faulted": f"""
         SELECT *, CASE WHEN error_class IS NULL THEN {json_fault('response')} END AS fault FROM deciding""",
     "conformed": f"""
-        SELECT job_id, tier, purpose, error_text, fault,
+        SELECT job_id, tier, purpose, error_text, fault, passing AND attempt_no < 3 AS open,
                {json_record('response', 'error_class IS NULL AND fault IS NULL')} AS rec FROM faulted""",
     "extracted": """
         SELECT a.job_id, coalesce(a.rec, CASE WHEN a.fault IS NOT NULL THEN b.rec END) AS rec,
                CASE WHEN a.rec IS NOT NULL THEN 'tier-1' WHEN a.fault IS NOT NULL AND b.rec IS NOT NULL THEN 'tier-2' END AS tier,
                a.fault IS NOT NULL AND b.fault IS NOT NULL AS unfit,
-               CASE WHEN a.rec IS NOT NULL THEN NULL
+               a.open OR (a.fault IS NOT NULL AND coalesce(b.open, true)) AS waiting,
+               CASE WHEN a.rec IS NOT NULL OR a.open OR (a.fault IS NOT NULL AND coalesce(b.open, true)) THEN NULL
                     WHEN a.fault IS NULL THEN a.error_text
                     WHEN b.rec IS NOT NULL THEN NULL
                     WHEN b.fault IS NOT NULL THEN 'schema validation failed after escalation: ' || b.fault
@@ -304,7 +306,7 @@ CTES = {
                {warning('rec.total', f"({amount_sum('rec.items')})")} AS warn
         FROM (SELECT job_id, 'read' AS purpose, rec FROM extracted WHERE rec IS NOT NULL
               UNION ALL SELECT job_id, 'premium', rec FROM conformed WHERE purpose = 'reconcile' AND rec IS NOT NULL)""",
-    "premium_calls": "SELECT job_id, error_text, fault, rec FROM conformed WHERE purpose = 'reconcile'",
+    "premium_calls": "SELECT job_id, error_text, fault, rec, open FROM conformed WHERE purpose = 'reconcile'",
     "submissions": """
         SELECT job_id, CASE WHEN p % 11 <> 0 THEN 'statement_' || k || '_p' || n || '.pdf' END AS filename,
                flag <> 'R' AS has_text,
@@ -315,6 +317,7 @@ CTES = {
                NOT s.has_text AND s.n_images = 0 AS no_pages,
                CASE WHEN NOT s.has_text AND s.n_images = 0 THEN 'scanned PDF produced no renderable pages'
                     ELSE e.error END AS error,
+               e.waiting OR (r.warn IS NOT NULL AND coalesce(pc.open, true)) AS waiting,
                e.unfit AND NOT (NOT s.has_text AND s.n_images = 0) AS unfit, e.tier AS read_tier,
                r.rec AS read_rec, r.tax AS read_tax, r.warn AS first_warning,
                r.warn IS NOT NULL AND pr.rec IS NOT NULL AND pr.warn IS NULL AS accepted,
@@ -326,15 +329,15 @@ CTES = {
         LEFT JOIN (SELECT * FROM ruled WHERE purpose = 'premium') pr USING (job_id)
         LEFT JOIN premium_calls pc USING (job_id)""",
     "outcomes": """
-        SELECT job_id, CASE WHEN error IS NULL THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, filename, was_scan,
+        SELECT job_id, CASE WHEN error IS NOT NULL THEN 'FAILED' WHEN waiting THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status, filename, was_scan,
                source_path, n_images, has_text, no_pages, unfit, error,
-               CASE WHEN error IS NULL THEN CASE WHEN accepted THEN 'tier-2' ELSE read_tier END END AS tier_used,
-               CASE WHEN error IS NULL THEN CASE WHEN accepted THEN premium_rec ELSE read_rec END END AS rec,
-               CASE WHEN error IS NULL THEN CASE WHEN accepted THEN premium_tax ELSE read_tax END END AS tax,
-               CASE WHEN error IS NULL AND NOT accepted THEN first_warning END AS warn,
-               CASE WHEN error IS NULL THEN first_warning END AS first_warning,
-               error IS NULL AND accepted AS escalated,
-               CASE WHEN error IS NULL THEN premium_problem END AS premium_problem FROM settled""",
+               CASE WHEN error IS NULL AND NOT waiting THEN CASE WHEN accepted THEN 'tier-2' ELSE read_tier END END AS tier_used,
+               CASE WHEN error IS NULL AND NOT waiting THEN CASE WHEN accepted THEN premium_rec ELSE read_rec END END AS rec,
+               CASE WHEN error IS NULL AND NOT waiting THEN CASE WHEN accepted THEN premium_tax ELSE read_tax END END AS tax,
+               CASE WHEN error IS NULL AND NOT waiting AND NOT accepted THEN first_warning END AS warn,
+               CASE WHEN error IS NULL AND NOT waiting THEN first_warning END AS first_warning,
+               error IS NULL AND NOT waiting AND accepted AS escalated,
+               CASE WHEN error IS NULL AND NOT waiting THEN premium_problem END AS premium_problem FROM settled""",
     "flat_jobs": """
         SELECT job_id, status, coalesce(filename, '') AS filename, was_scan, source_path,
                coalesce(tier_used, '') AS tier_used, coalesce(rec.number, '') AS invoice_number,
@@ -344,7 +347,7 @@ CTES = {
     "trail": """
         SELECT job_id, unnest(range(len(events))) AS seq, unnest(events) AS e FROM (
             SELECT job_id, list_filter([
-                {'stage': 'RECEIVED', 'detail': 'job created for ' || coalesce(filename, 'None')},
+                {'stage': 'RECEIVED', 'detail': 'job created for ' || coalesce('''' || filename || '''', 'None')},
                 {'stage': 'RUNNING', 'detail': 'extraction started'},
                 {'stage': 'STORED', 'detail': 'raw PDF retained at ' || source_path},
                 CASE WHEN NOT no_pages THEN {'stage': 'READ', 'detail': CASE WHEN has_text
@@ -362,7 +365,7 @@ CTES = {
                          || CASE WHEN warn IS NOT NULL THEN ' [needs review]' ELSE '' END}
                      WHEN unfit THEN {'stage': 'FAILED',
                           'detail': 'unparseable output after re-ask + escalation (quarantined)'}
-                     ELSE {'stage': 'FAILED', 'detail': 'error: ' || error} END
+                     WHEN status = 'FAILED' THEN {'stage': 'FAILED', 'detail': 'error: ' || error} END
             ], lambda x: x IS NOT NULL) AS events FROM outcomes)""",
     "order_lines": """
         SELECT k AS doc_id, net_c AS amount_c, 0 AS tax_line_c, false AS is_tax FROM bills
@@ -406,7 +409,7 @@ ORACLE = {
     "review_queue": "SELECT * FROM flat_jobs WHERE warnings <> ''",
     "quarantine": "SELECT job_id, error FROM outcomes WHERE status = 'FAILED'",
     "audit_trail": """
-        SELECT sha256(job_id || '|' || seq) AS event_id, job_id, seq::BIGINT AS seq, e.stage AS stage, e.detail AS detail FROM trail""",
+        SELECT sha256(job_id || '|' || e.stage || '|' || seq) AS event_id, job_id, seq::BIGINT AS seq, e.stage AS stage, e.detail AS detail FROM trail""",
     "normal_forms": f"""
         SELECT job_id, {norm_str('p_vendor')} AS vendor, {norm_str('p_payment_method')} AS paid,
                {norm_currency('p_currency')} AS currency, {norm_date('p_invoice_date')} AS date,

@@ -13,13 +13,8 @@ WRONG_TOTAL = (0, 1, 7)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A warehouse table; a scan with fewer splits than the session has cores is spread out.
-
-    Large tables have more splits than cores and are left alone, so this never shuffles them.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A warehouse table as it is stored; the session's file settings decide its splits."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cents(amount: Column) -> Column:
@@ -53,7 +48,7 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumn("tip_c", F.when(n == 7, 300).otherwise(0).cast("bigint"))
     return df.select(
         "*",
-        F.concat_ws("-", k, n, p, s).alias("job_id"),
+        F.concat_ws("-", k, n, p, s, "qty", "goods_c").alias("job_id"),
         ((k * 7 + p + n) % 20).alias("variant"),
         (F.col("net_c") + F.col("tax_c") + F.col("tip_c")).alias("total_c"),
         # tax lines: 'N' documents print two, the others one
@@ -232,7 +227,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per recorded model call."""
+    """One row per recorded model call; some jobs are still waiting for their next one."""
     v = F.col("variant")
     nothing = F.lit(None).cast("string")
 
@@ -266,8 +261,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(v == 14, call("tier-2", "reconcile", 1, nothing, *slow)),
         F.when(v == 14, call("tier-2", "reconcile", 2, nothing, *limit)),
         F.when(v == 14, call("tier-2", "reconcile", 3, nothing, *down))))
+    open_ = ((F.col("p") % 13 == 5) & (F.col("c.tier") == "tier-2")) | ((F.col("p") % 17 == 3) & (F.col("c.attempt_no") > 1))
     return (responses(spark, sf_dir).select("job_id", F.explode(calls).alias("c"), "k", "n", "p", "s")
-            .select("job_id", "c.*"))
+            .filter(~open_).select("job_id", "c.*"))
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ def build_session(app: str = "tallyfolio", master: str | None = None,
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
+        # A small machine reads small files in as many pieces as it has cores.
+        builder = builder.config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 

@@ -19,12 +19,12 @@ def retained_path(root: str | Column, job_id: Column, filename: Column) -> Colum
     return F.concat_ws("/", root, job_id, name)
 
 
-def retain(documents: DataFrame, folder: str, root: str, received_on: Column) -> None:
-    """Keep ``job_id, filename, content`` with their paths, one folder per day of receipt.
+def retain(documents: DataFrame, folder: str, root: str, received_on: Column, batch_id: int | str) -> None:
+    """Keep ``job_id, filename, content`` with their paths, by day of receipt and batch.
 
-    Days being written are replaced as a whole, so a repeated run leaves one copy.
+    A batch that runs again replaces its own folders; documents of other batches stay.
     """
     (documents.select(retained_path(root, F.col("job_id"), F.col("filename")).alias("path"), "job_id",
-                      "filename", "content", received_on.alias("received_on"))
+                      "filename", "content", received_on.alias("received_on"), F.lit(batch_id).alias("batch_id"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("received_on").parquet(folder))
+     .partitionBy("received_on", "batch_id").parquet(folder))

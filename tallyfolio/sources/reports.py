@@ -5,42 +5,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyfolio.operators.benchmark import detail_rows, report_rows
 
-# Headings of the report.
-HEAD = ("# Extraction benchmark", "",
-        "| Rank | Architecture | Accuracy | Line-item F1 | Latency | Est. $/doc |",
-        "|------|--------------|---------:|-------------:|--------:|-----------:|")
-INLINE_DOCS = 200
+HEAD = ("# Readers compared", "", "| place | reader and model | overall | items F1 | seconds | dollars per document |",
+        "|--:|--|--:|--:|--:|--:|")
 
 
 def ranking_text(ranked: DataFrame) -> DataFrame:
-    """The ranking with its headings, as ordered lines (one per configuration)."""
+    """The ranking as ordered lines: headings, one line per configuration, the best one named last."""
     spark = ranked.sparkSession
     head = spark.createDataFrame([(i - len(HEAD), line) for i, line in enumerate(HEAD)], "pos int, line string")
-    return head.unionByName(report_rows(ranked)).orderBy("pos")
-
-
-def inline_detail(detail: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One line per configuration listing its documents by name.
-
-    Only for label sets small enough to list (``INLINE_DOCS`` per configuration).
-    """
-    lists = (detail.groupBy("config").agg(F.array_sort(F.collect_list(F.struct("doc", "overall"))).alias("d")))
-    text = F.array_join(F.transform("d", lambda x: F.format_string("%s %.2f", x["doc"], x["overall"])), ", ")
-    return (lists.join(ranked.select("config", "rank"), "config")
-            .select("rank", F.concat(F.lit("- **"), "config", F.lit("**: "), text).alias("line")))
+    best = ranked.filter(F.col("rank") == 1).select("config", "overall", "n_docs")
+    size = ranked.agg(F.max("rank").alias("last"))
+    tail = best.join(size).select((F.col("last") + 1).alias("pos"), F.format_string(
+        "Best so far: `%s` with %.3f over %d labelled documents.", "config", "overall", "n_docs").alias("line"))
+    return head.unionByName(report_rows(ranked)).unionByName(tail).orderBy("pos")
 
 
 def detail_text(detail: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Details in rank order: listed per configuration where they fit, else a line each."""
-    # Counting stops at the first configuration that does not fit.
-    large = detail.groupBy("config").count().filter(F.col("count") > INLINE_DOCS).limit(1).count()
-    if large:
-        return detail_rows(detail, ranked).orderBy("rank", "doc").select("rank", "line")
-    return inline_detail(detail, ranked).orderBy("rank")
+    """Details in the order of rank and document, a line per document whatever their number."""
+    return detail_rows(detail, ranked).orderBy("rank", "doc")
 
 
 def write_report(ranked: DataFrame, detail: DataFrame, folder: str) -> None:
     """``results`` as JSON in rank order, ``ranking`` and ``detail`` as markdown lines."""
     ranked.orderBy("rank").coalesce(1).write.mode("overwrite").json(f"{folder}/results")
     ranking_text(ranked).select("line").coalesce(1).write.mode("overwrite").text(f"{folder}/ranking")
+    # A folder of part files; read in the order of their names they are the report's details.
     detail_text(detail, ranked).select("line").write.mode("overwrite").text(f"{folder}/detail")

@@ -3,12 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyfolio.operators.jobs import latest_rows, terminal
+from tallyfolio.operators.jobs import terminal
 from tallyfolio.operators.pages import route
-from tallyfolio.sources.jobstore import flush
+from tallyfolio.sources.documents import retained_path
+from tallyfolio.sources.jobstore import audit_rows, flush, stored_form
 
 
 def route_arrivals(documents: DataFrame) -> DataFrame:
@@ -16,25 +19,57 @@ def route_arrivals(documents: DataFrame) -> DataFrame:
     return route(documents)
 
 
-def unique_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Trail events once each; ids are remembered until the watermark passes them."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def keep_new(folder: str, key: str = "event_id", ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """Batch writer for a trail that holds each event once, however late it arrives.
+
+    The target itself says what is known: a batch is reduced to keys that other batches of the
+    same days have not written. Nothing is kept in stream state and no event is dropped for
+    being late. A repeated batch replaces its own folders.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates([key]).withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
+        new = new.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        try:
+            known = spark.read.schema(new.schema).parquet(folder).filter(F.col("batch_id") != batch_id)
+            new = new.join(known.select(key, "day"), [key, "day"], "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise       # else this is the first batch
+        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "batch_id").parquet(folder))
+    return write
 
 
 def live_status(events: DataFrame) -> DataFrame:
-    """Latest stage per job, kept up to date.
+    """Latest stage per job and batch of a stream, to be merged by ``keep_live``.
 
-    A streaming aggregation: each task reduces its part of a hot job before the shuffle, and
-    the state holds one row per job. Run it in update mode.
+    Each task reduces its part of a hot job before the shuffle.
     """
     return events.groupBy("job_id").agg(
         F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("last"),
         F.count("*").alias("n_events")).select("job_id", "last.*", "n_events")
 
 
+def keep_live(folder: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer of a live-status stream without endless state.
+
+    Each batch is reduced to one row per job and written beside the others; a job takes no
+    room in memory after its batch, whether it has ended or not. ``current_status`` merges.
+    """
+    keep = keep_batch(folder)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keep(live_status(batch), batch_id)
+    return write
+
+
 def write_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
                   mode: str = "append") -> StreamingQuery:
-    """Run a stream over what is there, batch by batch, and stop."""
+    """Run a stream over what is there, batch by batch, and stop.
+
+    The source's ``maxFilesPerTrigger`` (or its own rate option) bounds a batch.
+    """
     return (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(write).start())
 
@@ -48,18 +83,26 @@ def keep_batch(folder: str) -> Callable[[DataFrame, int], None]:
 
 
 def current_status(updates: DataFrame) -> DataFrame:
-    """Status table from the updates a live-status stream wrote."""
-    return latest_rows(updates, "job_id", ("batch_id",))
+    """Status per job from the rows of all batches: the latest stage, all events counted."""
+    return updates.groupBy("job_id").agg(
+        F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("last"),
+        F.sum("n_events").alias("n_events")).select("job_id", "last.*", "n_events")
 
 
-def flush_finished(folder: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer for finished jobs: document, job row and trail, each once.
+def flush_finished(folder: str, root: str = "/documents") -> Callable[[DataFrame, int], None]:
+    """Batch writer for finished jobs: document, job row and trail, each once, as they are stored.
 
-    Expects ``job_id, status, content, filename, events ARRAY<...>`` and the job's columns.
+    Expects ``job_id, content, events ARRAY<ts, stage, detail>`` and the job's own columns. The
+    batch is computed once and kept on disk for its three writes.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = terminal(batch)
-        documents = done.select("job_id", "filename", "content")
-        trail = done.select("job_id", F.posexplode("events").alias("seq", "e")).select("job_id", "seq", "e.*")
-        flush(documents, done.drop("content", "events"), trail, folder, batch_id)
+        done = terminal(batch).persist(StorageLevel.DISK_ONLY)
+        try:
+            path = retained_path(root, F.col("job_id"), F.col("filename"))
+            documents = done.select(path.alias("path"), "job_id", "filename", "content")
+            rows = done.withColumnRenamed("job_id", "id").withColumn(
+                "source_path", retained_path(root, F.col("id"), F.col("filename")))
+            flush(documents, stored_form(rows), audit_rows(done.select("job_id", "events")), folder, batch_id)
+        finally:
+            done.unpersist()
     return write

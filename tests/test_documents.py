@@ -120,7 +120,7 @@ def test_gold_files(spark, tmp_path):
     assert [(r.doc, r.page, r.notes, r.invoice.total) for r in rows] == [("a_rent", 1, "", 5.0), ("b_ride", 0, "", 5.0)]
     pages = spark.createDataFrame([(0, "x"), (1, "y")], "page int, image string")
     assert G.check_pages(gold, pages).count() == 2
-    with pytest.raises(ValueError, match="a_rent"):
+    with pytest.raises(ValueError, match="1 gold records"):
         G.check_pages(gold, pages.filter("page = 0"))
 
 
@@ -128,7 +128,8 @@ def test_files_are_read_and_retained(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF")
     d = D.read_files(spark, str(tmp_path / "in"), "*.pdf").withColumn("job_id", F.lit("j1"))
-    for _ in range(2):  # a repeated run leaves one copy
-        D.retain(d, str(tmp_path / "out"), "/documents", F.lit("2025-01-01"))
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [(r.path, bytes(r.content)) for r in rows] == [("/documents/j1/a.pdf", b"%PDF")]
+    other = d.withColumn("job_id", F.lit("j2"))
+    for batch, docs_ in ((1, d), (2, other), (1, d)):  # another batch of the day stays, a repeated one leaves one copy
+        D.retain(docs_, str(tmp_path / "out"), "/documents", F.lit("2025-01-01"), batch)
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("path").collect()
+    assert [(r.path, bytes(r.content)) for r in rows] == [("/documents/j1/a.pdf", b"%PDF"), ("/documents/j2/a.pdf", b"%PDF")]

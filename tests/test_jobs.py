@@ -2,6 +2,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyfolio.operators import jobs as J
@@ -88,7 +89,9 @@ def test_audit_rows(spark):
                                     "job_id string, events array<struct<ts timestamp, stage string, detail string>>")
     rows = S.audit_rows(batches)
     assert [(r.job_id, r.seq, r.stage) for r in rows.orderBy("seq").collect()] == [("a", 0, "R"), ("a", 1, "S")]
-    assert rows.select("event_id").distinct().count() == 2
+    later = batches.withColumn("events", F.transform("events", lambda e: e.withField("ts", e["ts"] + F.expr("INTERVAL 1 HOUR"))))
+    assert rows.union(S.audit_rows(later)).select("event_id").distinct().count() == 4
+    assert rows.union(S.audit_rows(batches)).select("event_id").distinct().count() == 2
 
 
 def test_flush_order_and_repeat(spark, tmp_path):
@@ -106,6 +109,39 @@ def test_status_stream_over_several_batches(spark, tmp_path):
     for i, status in enumerate(("PENDING", "RUNNING", "SUCCEEDED")):
         spark.createDataFrame([("a", status, at(i), i), (f"b{i}", status, at(i), i)], schema).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        X.write_batches(X.live_status(stream), X.keep_batch(f"{tmp_path}/out"), f"{tmp_path}/cp", "update").awaitTermination()
+        X.write_batches(stream, X.keep_live(f"{tmp_path}/out"), f"{tmp_path}/cp").awaitTermination()
     got = {r.job_id: r.status for r in X.current_status(spark.read.parquet(f"{tmp_path}/out")).collect()}
     assert got == {"a": "SUCCEEDED", "b0": "PENDING", "b1": "RUNNING", "b2": "SUCCEEDED"}
+
+
+def test_late_and_repeated_events_are_kept_once(spark, tmp_path):
+    schema = "event_id string, ts timestamp"
+    day = timedelta(days=1)
+    for rows in ([("a", at(5)), ("a", at(5)), ("b", at(6))], [("late", at(0) - day), ("b", at(6))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        X.write_batches(stream, X.keep_new(f"{tmp_path}/out"), f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "late"]
+
+
+@pytest.mark.parametrize("name", ["stream_routing", "stream_unique_events", "stream_live_status", "stream_final_flush"])
+def test_streams_read_folders_of_part_files(spark, sf_dir, tmp_path, name):
+    from tallyfolio.plans import lifecycle
+    for table in ("events", "documents"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    one, parts = (sorted(map(str, lifecycle.QUERIES[name](spark, d).collect())) for d in (sf_dir, str(tmp_path)))
+    assert one == parts and one
+
+
+def test_hot_keys_are_dealt_to_many_parts(spark):
+    rows = spark.range(9000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("job_id"), F.col("id").alias("seq"))
+    known = rows.filter("job_id % 2 = 0").select("job_id").distinct()
+    dealt = J.with_known_jobs(rows, known)
+    assert sorted(r.seq for r in dealt.collect()) == sorted(r.seq for r in rows.join(known, "job_id", "left_semi").collect())
+    assert "_part" in dealt._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_positions_across_blocks(spark):
+    rows = spark.createDataFrame([("a", at(m), m) for m in (0, 1, 70, 71, 200)] + [("b", at(3), 3)], "job_id string, ts timestamp, seq int")
+    got = {(r.job_id, r.seq): r.position for r in J.numbered(rows).collect()}
+    assert got == {("a", 0): 1, ("a", 1): 2, ("a", 70): 3, ("a", 71): 4, ("a", 200): 5, ("b", 3): 1}
