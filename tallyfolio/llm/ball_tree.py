@@ -29,6 +29,7 @@ SHARD_ROWS = 16384
 LEAF = 64
 # Products below this are exact in doubles.
 _EXACT = 2.0 ** 52
+_LONG = (1 << 63) - 1
 
 
 class BallTree:
@@ -75,7 +76,7 @@ class BallTree:
         middle = queries @ self.centres.T
         return middle + size * self.radii + 1e-9 * (np.abs(middle) + size * self.radii) + 1e-6
 
-    def search(self, row: int, query: np.ndarray, bound: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
+    def search(self, row: int, query: np.ndarray, bound: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
         """The best k (score, -id) of the tree at or above ``floor``, in no order."""
         exact = math.sqrt(float((query.astype(np.float64) ** 2).sum())) * self.longest < _EXACT
         as_float = query.astype(np.float64)
@@ -92,6 +93,7 @@ class BallTree:
                     scores = self.points[start:end] @ as_float
                 else:
                     scores = self.vectors[start:end].astype(object) @ query.astype(object)
+                    scores = np.clip(scores, -_LONG, _LONG)
                 for i in np.flatnonzero(scores >= max(least, floor)):
                     if self.rows[start + i] != row:
                         found = (int(scores[i]), -int(self.ids[start + i]))
@@ -105,9 +107,6 @@ class BallTree:
         return best
 
 
-_LONG = (1 << 63) - 1
-
-
 def _search_shards(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, trees = None, {}
@@ -116,7 +115,7 @@ def _search_shards(k: int):
             columns = {c: batch.column(c) for c in batch.schema.names}
             keys = np.stack([columns[c].to_numpy(zero_copy_only=False) for c in ("shard", "kind")], axis=1)
             rows, ids = (columns[c].to_numpy(zero_copy_only=False) for c in ("row", "id"))
-            floors = columns["floor"].fill_null(-math.inf).to_numpy(zero_copy_only=False)
+            floors = columns["floor"].fill_null(-_LONG - 1).to_numpy(zero_copy_only=False)
             lists = columns["v"]
             size = np.diff(lists.offsets.to_numpy())
             flat, offset = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -140,8 +139,8 @@ def _search_shards(k: int):
                     continue
                 bound = tree.bounds(vectors.astype(np.float64))
                 for i in range(b - a):
-                    for score, other in tree.search(int(rows[a + i]), vectors[i], bound[i], k, float(floors[a + i])):
-                        out.append((int(rows[a + i]), int(ids[a + i]), -other, max(-_LONG, min(_LONG, score))))
+                    for score, other in tree.search(int(rows[a + i]), vectors[i], bound[i], k, int(floors[a + i])):
+                        out.append((int(rows[a + i]), int(ids[a + i]), -other, score))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
                                                  ["row", "query_id", "vec_id", "score"])
@@ -166,7 +165,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = TOP, shard_rows: int =
     shuffled once; each query goes to every shard, and k rows come back from each.
     """
     shards = max(1, -(-table.count() // shard_rows))
-    none = F.lit(None).cast("double")
+    none = F.lit(None).cast("bigint")
     dealt = table.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
                          "row", "id", "v", none.alias("floor"))
     queries = table.filter(is_query)
@@ -184,7 +183,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = TOP, shard_rows: int =
     found = pilot
     if shards > 1:
         floors = (pilot.groupBy(F.col("row").alias("of")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
-                  .filter(F.col("n") == k).select("of", F.col("least").cast("double").alias("least")))
+                  .filter(F.col("n") == k).select("of", "least"))
         known = queries.join(floors, queries["row"] == floors["of"], "left")
         rest = to(F.explode(F.sequence(F.lit(1), F.lit(shards - 1))), known, F.col("least"))
         found = pilot.union(ask(dealt.filter("shard > 0"), rest))

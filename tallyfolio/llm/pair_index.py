@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tallyfolio.llm.common import documents, fresh
 from tallyfolio.llm.units import UnitValues
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, columns
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], lists, pa.array(np.diff(stop))], [*columns, ids, count])
 
-    schema = given.drop(source).schema.add(ids, ArrayType(IntegerType())).add(count, LongType())
+    schema = StructType([*given.schema.fields[:-1], StructField(ids, ArrayType(IntegerType())), StructField(count, LongType())])
     return given.mapInArrow(run, schema)
 
 
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, out: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              [*batch.schema.names, out])
 
-    return encoded.mapInArrow(run, encoded.schema.add(out, StringType()))
+    return encoded.mapInArrow(run, StructType([*encoded.schema, StructField(out, StringType())]))
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tallyfolio.llm.common import documents, fresh
 from tallyfolio.llm.units import UnitValues
@@ -32,6 +32,8 @@ from tallyfolio.llm.units import UnitValues
 LIMIT = 512
 _ASCII_PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+# Python counts these as white space; the pattern does not.
+_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 # Pieces whose prefixes of two characters are two pieces.
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 
@@ -190,7 +192,7 @@ class PrefixCounter:
         for raw, piece in self._raw_pieces(unit):
             inner = self.piece_counts(piece)
             at = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in raw]).tolist()
-            if raw.isspace():
+            if raw.isspace() and _SEPARATORS.isdisjoint(raw):
                 if not run:
                     run_from = before
                 marks = self.piece_counts(run + piece)
@@ -303,7 +305,7 @@ def prefix_table(docs: DataFrame, text: str = "text", out: str = "prefix_tokens"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int64()))],
                                              [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, ArrayType(LongType())))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(out, ArrayType(LongType()))]))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
