@@ -33,16 +33,22 @@ def quality(settled: DataFrame, attempts: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "FAILED").alias("n_failed"),
         F.count_if(F.size("warnings") > 0).alias("n_flagged"),
         F.count_if(F.col("first_warning").isNotNull()).alias("n_doubtful"),
-        F.count_if(F.col("escalated")).alias("n_escalated"))
+        F.count_if(F.col("escalated")).alias("n_escalated"),
+        F.count("first_fits").alias("n_answered"), F.count_if(F.col("first_fits")).alias("n_fitting"))
     calls = attempts.agg(
         F.count("*").alias("n_calls"), F.count_if(F.col("error_class").isNotNull()).alias("n_call_errors"),
         F.count_if(F.col("tier") == "tier-2").alias("n_tier2_calls"),
+        F.sum(F.when(F.col("tier") == "tier-2", token_cost(F.col("tokens_in"), F.col("tokens_out"), *map(F.lit, TIER2_PRICE)))
+              .otherwise(token_cost(F.col("tokens_in"), F.col("tokens_out"), *map(F.lit, TIER1_PRICE)))
+              .cast("decimal(28,10)")).cast("double").alias("cost"),
         F.percentile_approx("latency_s", 0.5, 10000).alias("latency_p50"),
         F.percentile_approx("latency_s", 0.95, 10000).alias("latency_p95"))
     both = jobs.withColumn("_one", F.lit(1)).join(calls.withColumn("_one", F.lit(1)), "_one").drop("_one")
     return (both.withColumn("failure_rate", score_round(F.col("n_failed") / F.col("n_jobs"), 4))
             .withColumn("flag_rate", score_round(F.col("n_flagged") / F.col("n_jobs"), 4))
             .withColumn("escalation_rate", score_round(F.col("n_escalated") / F.col("n_jobs"), 4))
+            .withColumn("schema_valid_rate", score_round(F.col("n_fitting") / F.col("n_answered"), 4))
+            .withColumn("cost_per_doc", score_round(F.col("cost") / F.col("n_jobs"), 6)).drop("cost", "n_answered", "n_fitting")
             .withColumn("calls_per_job", score_round(F.col("n_calls") / F.col("n_jobs"), 4)))
 
 

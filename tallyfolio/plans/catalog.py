@@ -4,11 +4,11 @@ from __future__ import annotations
 import re
 
 from tallyfolio.plans import (
-    documents, evaluation, lifecycle, oracle_documents, oracle_evaluation, oracle_lifecycle,
-    oracle_records, records)
+    documents, evaluation, ladder, lifecycle, oracle_documents, oracle_evaluation, oracle_ladder,
+    oracle_lifecycle, oracle_records, records)
 
-_PARTS = (documents, records, lifecycle, evaluation)
-_ORACLES = (oracle_documents, oracle_records, oracle_lifecycle, oracle_evaluation)
+_PARTS = (documents, records, lifecycle, evaluation, ladder)
+_ORACLES = (oracle_documents, oracle_records, oracle_lifecycle, oracle_evaluation, oracle_ladder)
 
 
 def queries() -> dict:

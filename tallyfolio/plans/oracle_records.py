@@ -294,6 +294,7 @@ CTES = {
                CASE WHEN a.rec IS NOT NULL THEN 'tier-1' WHEN a.fault IS NOT NULL AND b.rec IS NOT NULL THEN 'tier-2' END AS tier,
                a.fault IS NOT NULL AND b.fault IS NOT NULL AS unfit,
                a.open OR (a.fault IS NOT NULL AND coalesce(b.open, true)) AS waiting,
+               CASE WHEN a.rec IS NOT NULL THEN true WHEN a.fault IS NOT NULL THEN false END AS first_fits,
                CASE WHEN a.rec IS NOT NULL OR a.open OR (a.fault IS NOT NULL AND coalesce(b.open, true)) THEN NULL
                     WHEN a.fault IS NULL THEN a.error_text
                     WHEN b.rec IS NOT NULL THEN NULL
@@ -317,7 +318,7 @@ CTES = {
                NOT s.has_text AND s.n_images = 0 AS no_pages,
                CASE WHEN NOT s.has_text AND s.n_images = 0 THEN 'scanned PDF produced no renderable pages'
                     ELSE e.error END AS error,
-               e.waiting OR (r.warn IS NOT NULL AND coalesce(pc.open, true)) AS waiting,
+               e.first_fits, e.waiting OR (r.warn IS NOT NULL AND coalesce(pc.open, true)) AS waiting,
                e.unfit AND NOT (NOT s.has_text AND s.n_images = 0) AS unfit, e.tier AS read_tier,
                r.rec AS read_rec, r.tax AS read_tax, r.warn AS first_warning,
                r.warn IS NOT NULL AND pr.rec IS NOT NULL AND pr.warn IS NULL AS accepted,
@@ -330,7 +331,7 @@ CTES = {
         LEFT JOIN premium_calls pc USING (job_id)""",
     "outcomes": """
         SELECT job_id, CASE WHEN error IS NOT NULL THEN 'FAILED' WHEN waiting THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status, filename, was_scan,
-               source_path, n_images, has_text, no_pages, unfit, error,
+               source_path, n_images, has_text, no_pages, unfit, error, first_fits,
                CASE WHEN error IS NULL AND NOT waiting THEN CASE WHEN accepted THEN 'tier-2' ELSE read_tier END END AS tier_used,
                CASE WHEN error IS NULL AND NOT waiting THEN CASE WHEN accepted THEN premium_rec ELSE read_rec END END AS rec,
                CASE WHEN error IS NULL AND NOT waiting THEN CASE WHEN accepted THEN premium_tax ELSE read_tax END END AS tax,

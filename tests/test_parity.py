@@ -14,9 +14,9 @@ duckdb = pytest.importorskip("duckdb")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
 SECTION = ("reconcile_orders", "split_documents", "job_outcomes", "job_partial_update", "lifecycle_violations",
-           "strategy_comparison", "stream_live_status", "model_calls", "field_checks")
+           "strategy_comparison", "document_kinds", "stream_final_flush", "stream_live_status", "model_calls", "field_checks")
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
-CHOSEN = sorted(QUERIES) if os.environ.get("TALLYFOLIO_PARITY") == "all" else SECTION
+CHOSEN = sorted(ORACLE) if os.environ.get("TALLYFOLIO_PARITY") == "all" else SECTION
 
 
 def rows(frame):
@@ -29,7 +29,8 @@ def rows(frame):
 
 
 def test_every_query_has_a_twin():
-    assert set(ORACLE) == set(QUERIES)
+    # SQL cannot fit a classifier; its held-out accuracy is tested instead.
+    assert set(ORACLE) == set(QUERIES) - {"text_classifier"}
 
 
 def test_all_are_registered():
