@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 import tallyfolio
@@ -50,32 +52,38 @@ MIN_WAIT, MAX_WAIT = 1.0, 10.0
 def call_model(inputs: DataFrame, make_predictor: Callable[[], Predictor], tier: str,
                purpose: str = "extract", max_attempts: int = MAX_ATTEMPTS,
                min_wait: float = MIN_WAIT, max_wait: float = MAX_WAIT,
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, at_once: int = 1) -> DataFrame:
     """One attempts row per call over ``inputs(job_id, text, image_uri)``.
 
     The predictor is built once per partition. Passing failures are tried again up to the
     budget, with a growing wait; every other failure is final at once. ``partitions`` spreads
-    the calls by job where the inputs come in too few pieces.
+    the calls by job where the inputs come in too few pieces. ``at_once`` calls of a partition
+    wait for their answers side by side; the predictor must then bear several threads.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = make_predictor()
-        for batch in batches:
+
+        def calls(job_id, text, image_uri) -> list[tuple]:
             rows = []
-            for job_id, text, image_uri in zip(batch["job_id"], batch["text"], batch["image_uri"]):
-                for number in range(1, max_attempts + 1):
-                    started = time.monotonic()
-                    reply, failure = None, (None, None)
-                    try:
-                        reply = predictor(text, image_uri)
-                    except Exception as exc:  # errors are rows, one document never stops others
-                        failure = (getattr(exc, "error_class", "other"), str(exc))
-                    rows.append((job_id, tier, purpose, number, reply and reply.response_json,
-                                 *failure, time.monotonic() - started,
-                                 reply.tokens_in if reply else 0, reply.tokens_out if reply else 0))
-                    if failure[0] not in TRANSIENT or number == max_attempts:
-                        break
-                    time.sleep(min(max_wait, max(min_wait, 2.0 ** (number - 1))))
-            yield pd.DataFrame(rows, columns=ATTEMPTS.names)
+            for number in range(1, max_attempts + 1):
+                started = time.monotonic()
+                reply, failure = None, (None, None)
+                try:
+                    reply = predictor(text, image_uri)
+                except Exception as exc:  # errors are rows, one document never stops others
+                    failure = (getattr(exc, "error_class", "other"), str(exc))
+                rows.append((job_id, tier, purpose, number, reply and reply.response_json,
+                             *failure, time.monotonic() - started,
+                             reply.tokens_in if reply else 0, reply.tokens_out if reply else 0))
+                if failure[0] not in TRANSIENT or number == max_attempts:
+                    break
+                time.sleep(min(max_wait, max(min_wait, 2.0 ** (number - 1))))
+            return rows
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                found = pool.map(calls, batch["job_id"], batch["text"], batch["image_uri"])
+                yield pd.DataFrame([row for rows in found for row in rows], columns=ATTEMPTS.names)
 
     source = inputs.select("job_id", "text", "image_uri")
     if partitions:
@@ -89,23 +97,30 @@ def run_cascade(inputs: DataFrame, make_tier1: Callable[[], Predictor],
     """Call the tiers as far as each job needs them and return all attempts.
 
     Each pass is written to ``folder`` before the next one reads it: calls cost money, so a
-    lost executor must never repeat a finished pass. Later passes only see the rows that need
-    them, filtered before Python is reached.
+    lost executor must never repeat a finished pass. Jobs that a pass has already are not called
+    again, so starting over with the same folder only makes the calls that are missing. Later
+    passes only see the rows that need them, filtered before Python is reached.
     """
     spark = inputs.sparkSession
 
-    def keep(calls: DataFrame, name: str) -> DataFrame:
-        calls.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.schema(ATTEMPTS).parquet(f"{folder}/{name}")
-
-    first = keep(call_model(inputs, make_tier1, options.tier1, "extract", options.max_attempts,
-                            **call_options), "tier1")
+    def keep(rows: DataFrame, name: str, make: Callable[[], Predictor], tier: str, purpose: str) -> DataFrame:
+        path = f"{folder}/{name}"
+        try:
+            done = spark.read.schema(ATTEMPTS).parquet(path).select("job_id").distinct()
+            rows = rows.join(done, "job_id", "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise       # else the pass begins
+        calls = call_model(rows, make, tier, purpose, options.max_attempts, **call_options)
+        calls.write.mode("append").parquet(path)
+        return spark.read.schema(ATTEMPTS).parquet(path)
+
+    first = keep(inputs, "tier1", make_tier1, options.tier1, "extract")
     unfit = with_conformed(resolve_calls(first, options), "first").filter(F.col("first_fault").isNotNull())
-    second = keep(call_model(inputs.join(unfit.select("job_id"), "job_id", "left_semi"), make_tier2,
-                             options.tier2, "extract", options.max_attempts, **call_options), "tier2")
+    second = keep(inputs.join(unfit.select("job_id"), "job_id", "left_semi"), "tier2", make_tier2, options.tier2, "extract")
 
     read = resolve_extraction(resolve_calls(first.unionByName(second), options), options)
     doubtful = read.filter(F.size(reconcile(normalize(F.col("read_invoice")))) > 0)
-    premium = keep(call_model(inputs.join(doubtful.select("job_id"), "job_id", "left_semi"), make_tier2,
-                              options.tier2, "reconcile", options.max_attempts, **call_options), "premium")
+    premium = keep(inputs.join(doubtful.select("job_id"), "job_id", "left_semi"), "premium", make_tier2, options.tier2,
+                   "reconcile")
     return first.unionByName(second).unionByName(premium)

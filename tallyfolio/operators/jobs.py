@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyfolio.operators.staging import spread_join
+from tallyfolio.operators.staging import spread_join, written
 from tallyfolio.schemas import PENDING, RUNNING, TERMINAL
 
 ORDER = ("ts", "seq")
@@ -78,20 +78,19 @@ def oldest_first(events: DataFrame, key: str = "job_id") -> DataFrame:
     return events.orderBy(key, *ORDER)
 
 
-def numbered(events: DataFrame, key: str = "job_id", order: tuple[str, ...] = ORDER, block: str = "hour") -> DataFrame:
+def numbered(events: DataFrame, key: str = "job_id", order: tuple[str, ...] = ORDER) -> DataFrame:
     """Add ``position``: the place of an event in its job's trail, from one.
 
-    Events are numbered within (job, time block); the blocks before, one row each, are added.
+    Events are numbered within their part of a table sorted by job and time; what a job has in
+    the parts before, one row per job and part, is added.
     """
-    from pyspark.sql import Window
-
-    blocked = events.withColumn("_block", F.date_trunc(block, order[0]))
-    sizes = blocked.groupBy(key, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order))
-    return (blocked.withColumn("_inner", inner).join(starts, [key, "_block"])
-            .withColumn("position", F.col("_before") + F.col("_inner")).drop("_block", "_inner", "_before"))
+    parts = ranged(events, key, order)
+    sizes = parts.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    return (parts.withColumn("_inner", inner).join(starts, [key, "_part"])
+            .withColumn("position", F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before"))
 
 
 def terminal(jobs: DataFrame) -> DataFrame:
@@ -100,29 +99,30 @@ def terminal(jobs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ previous row, safe under skew
 
-def with_previous(df: DataFrame, value: str, key: str = "job_id", order: tuple[str, ...] = ORDER,
-                  block: str = "minute") -> DataFrame:
+def ranged(df: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """``df`` as a table in parts of like size, sorted across parts by key and time (``_part``).
+
+    Stored, so that the parts stay the same for everything that reads them.
+    """
+    return written(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def with_previous(df: DataFrame, value: str, key: str = "job_id", order: tuple[str, ...] = ORDER) -> DataFrame:
     """Add ``previous``: the value on the row before, per key in time order.
 
-    A window over the key alone would hand a hot key to one task. Rows are windowed within
-    (key, time block) instead; the first row of a block takes the last value of the key's block
-    before it, from a table with one row per block.
+    A window over the key alone would hand a hot key to one task. The window runs within the
+    parts of a table sorted by key and time; the first row of a part takes the last row of the
+    parts before, from a table with one row per part.
     """
-    from pyspark.sql import Window
-
-    at = F.struct(*order)
-    blocked = df.withColumn("_block", F.date_trunc(block, order[0]))
-    inner = Window.partitionBy(key, "_block").orderBy(*order)
-    rows = (blocked.withColumn("_inner", F.lag(F.struct(F.col(value).alias("v"))).over(inner)))
-
-    ends = blocked.groupBy(key, "_block").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), at).alias("_last"))
-    over_blocks = Window.partitionBy(key).orderBy("_block")
-    carried = ends.select(key, "_block", F.lag("_last").over(over_blocks).alias("_carried"))
-    return (rows.join(carried, [key, "_block"])
-            .withColumn("previous", F.coalesce(F.col("_inner"), F.col("_carried"))["v"])
-            .withColumn("is_first", F.col("_inner").isNull() & F.col("_carried").isNull())
-            .drop("_block", "_inner", "_carried"))
+    parts = ranged(df, key, order)
+    here = F.struct(F.col(key).alias("k"), F.col(value).alias("v"))
+    rows = parts.withColumn("_before", F.lag(here).over(Window.partitionBy("_part").orderBy(key, *order)))
+    ends = parts.groupBy("_part").agg(F.max_by(here, F.struct(key, *order)).alias("_last"))
+    carried = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried"))
+    both = rows.join(carried, "_part").withColumn("_before", F.coalesce("_before", "_carried"))
+    same = F.coalesce(F.col("_before.k") == F.col(key), F.lit(False))
+    return (both.withColumn("previous", F.when(same, F.col("_before.v"))).withColumn("is_first", ~same)
+            .drop("_part", "_before", "_carried"))
 
 
 # The moves a job may make.

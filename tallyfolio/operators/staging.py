@@ -1,8 +1,10 @@
-"""Evaluate expensive columns once."""
+"""Evaluate once what is expensive, keep tables, and join without hot keys."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyfolio.session import scratch_path
+
 
 def staged(df: DataFrame, **columns: Column) -> DataFrame:
     """Add (or replace) columns as the output of a one-row generator.
@@ -15,6 +17,13 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which losing executors cannot undo or change."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_join(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner", spread: int = 16) -> DataFrame:
     """Join ``rows`` with a ``summary`` of one row per key so that no key is one task's work.
 

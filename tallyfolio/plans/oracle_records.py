@@ -447,6 +447,15 @@ ORACLE = {
             SELECT round_even((16 - CASE WHEN tax_c = 0 THEN 1.5::DOUBLE ELSE 0 END
                 - CASE WHEN k % 3 = 2 AND year(shipped) < 2000 THEN 1 ELSE 0 END) / 16.0::DOUBLE, 4) AS overall FROM bills)
         GROUP BY overall""",
+    "live_cascade": """
+        SELECT job_id, tier, purpose, 1::BIGINT AS attempt_no,
+               CASE WHEN n % 11 = 0 THEN '' WHEN tier = 'tier-1'
+                    THEN '{"total": ' || n || ', "line_items": [{"description": "x", "amount": 1}]}'
+                    ELSE '{"total": ' || n || ', "line_items": [{"description": "x", "amount": ' || n || '}]}' END AS response,
+               CASE WHEN n % 11 = 0 THEN 'cannot read this' ELSE '' END AS error_text
+        FROM (SELECT doc_id::VARCHAR AS job_id, length(coalesce(text, '')) AS n FROM documents),
+             (VALUES ('tier-1', 'extract'), ('tier-2', 'reconcile')) t(tier, purpose)
+        WHERE tier = 'tier-1' OR (n % 11 <> 0 AND n <> 1)""",
     "model_calls": """
         WITH sized AS (SELECT doc_id::VARCHAR AS job_id, length('document ' || doc_id || chr(10) || text) AS n FROM documents),
         tried AS (SELECT job_id, n, unnest(range(1, 4)) AS attempt_no,

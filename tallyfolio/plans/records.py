@@ -8,11 +8,12 @@ from tallyfolio.functions.scoring import (
     FIELD_WEIGHTS, field_correct, item_f1, item_precision, item_recall, matched_items)
 from tallyfolio.functions.text import norm_currency, norm_date, norm_str
 from tallyfolio.operators import cascade as C
-from tallyfolio.operators.extract import CallError, Reply, call_model
+from tallyfolio.operators.extract import CallError, Reply, call_model, run_cascade
 from tallyfolio.operators.ledger import reconcile_ledger
 from tallyfolio.operators.score import field_accuracy as field_accuracy_of, metric, score_records
 from tallyfolio.operators.textread import read_text
 from tallyfolio.plans import tables as T
+from tallyfolio.session import scratch_path
 
 
 def text(c: Column | str) -> Column:
@@ -219,11 +220,12 @@ def text_reading_scores(spark, sf_dir):
 
 def _echo():
     """Stand-in predictor: answers with the length of the text, fails on some lengths."""
-    seen: dict = {}
+    last = [None, 0]        # the text being tried, and how often: tries of a text follow each other
 
     def predict(doc_text, image_uri):
         n = len(doc_text)
-        tries = seen[doc_text] = seen.get(doc_text, 0) + 1
+        last[:] = [doc_text, last[1] + 1 if last[0] == doc_text else 1]
+        tries = last[1]
         if n % 5 == 0 and tries <= 1 + n % 4:
             raise CallError("timeout", "request timed out")
         if n % 7 == 0:
@@ -244,8 +246,34 @@ def model_calls(spark, sf_dir):
                         text("error_text").alias("error_text"), "tokens_in")
 
 
+def _tier(answer: str):
+    """Stand-in model of the cascade: short texts are refused, others get the given answer."""
+    def make():
+        def predict(doc_text, image_uri):
+            if len(doc_text) % 11 == 0:
+                raise CallError("bad_request", "cannot read this")
+            return Reply(answer.replace("N", str(len(doc_text))), len(doc_text), 9)
+        return predict
+    return make
+
+
+def live_cascade(spark, sf_dir):
+    """The whole cascade over documents with stand-in models: every call of every tier.
+
+    The first tier answers with lines that do not add up, so that each record is read again.
+    """
+    inputs = T.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("job_id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.lit(None).cast("string").alias("image_uri"))
+    off = '{"total": N, "line_items": [{"description": "x", "amount": 1}]}'
+    good = '{"total": N, "line_items": [{"description": "x", "amount": N}]}'
+    calls = run_cascade(inputs, _tier(off), _tier(good), scratch_path(spark, "cascade"), min_wait=0.0, max_wait=0.0)
+    return calls.select("job_id", "tier", "purpose", F.col("attempt_no").cast("bigint").alias("attempt_no"),
+                        text("response_json").alias("response"), text("error_text").alias("error_text"))
+
+
 QUERIES = {f.__name__: f for f in (
     reconcile_orders, derive_tax, reconcile_records, schema_conformance, retry_policy,
     extraction_escalation, job_outcomes, review_queue, quarantine, audit_trail, normal_forms,
     field_checks, item_matching, text_line_matching, prediction_scores, field_accuracy, text_reading,
-    text_reading_scores, model_calls)}
+    text_reading_scores, model_calls, live_cascade)}
