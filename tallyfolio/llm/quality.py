@@ -43,7 +43,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def measured(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
     """``docs`` with a struct ``out`` of the counts and rates of every whole text."""
-    w, h, p, ln = (fresh(docs, n) for n in ("_words", "_windows", "_repeats", "_lines"))
+    w, h, p, again_, ln = (fresh(docs, n) for n in ("_words", "_windows", "_repeats", "_places", "_lines"))
     body = F.coalesce(F.col(text), F.lit(""))
     df = _once(docs, w, words(F.col(text)))
     ahead = F.greatest(F.size(w) - 2, F.lit(0))
@@ -57,10 +57,10 @@ def measured(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
     again = F.sort_array(F.transform(
         F.filter(F.col(p), lambda x, k: (F.get(F.col(p), k - 1)["h"] == x["h"])
                  | (F.get(F.col(p), k + 1)["h"] == x["h"])), lambda x: x["i"]))
-    df = _once(df, p + "_", again)
+    df = _once(df, again_, again)
     covered = F.aggregate(
-        F.transform(F.col(p + "_"), lambda x, k: F.least(
-            F.lit(3), F.coalesce(F.get(F.col(p + "_"), k + 1) - x, F.lit(3)))),
+        F.transform(F.col(again_), lambda x, k: F.least(
+            F.lit(3), F.coalesce(F.get(F.col(again_), k + 1) - x, F.lit(3)))),
         F.lit(0).cast("int"), lambda a, x: a + x)
     df = _once(df, ln, _same_lines(body))
     n = F.size(w).cast("bigint")
@@ -152,12 +152,13 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     features = measured(docs, text, out).select(*dict.fromkeys([*columns, lang, source]), out)
     features = written(features, "quality-features")
     limits = written(thresholds(sketches(features, lang, source, out)), "quality-thresholds")
-    limits = limits.select(F.struct("*").alias("limit_"))
-    df = features.join(limits, F.col(lang).eqNullSafe(F.col("limit_.lang"))
-                       & F.col(source).eqNullSafe(F.col("limit_.source")), "left")
+    limit = fresh(features, "limit")
+    limits = limits.select(F.struct("*").alias(limit))
+    df = features.join(limits, F.col(lang).eqNullSafe(F.col(limit)["lang"])
+                       & F.col(source).eqNullSafe(F.col(limit)["source"]), "left")
     fine = F.lit(True)
     for r in RATES:
-        fine = fine & (F.col(out)[r] <= F.col("limit_")[r])
+        fine = fine & (F.col(out)[r] <= F.col(limit)[r])
     kept = ~F.col(out)["base_failed"] & F.coalesce(fine, F.lit(False))
     return df.select(*columns, F.col(out).withField("kept", kept).alias(out))
 

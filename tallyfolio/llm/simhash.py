@@ -358,8 +358,8 @@ def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     prints = written(fingerprints(table.select(F.col(text).alias("text"), place.alias("place")), "text", "place"),
                      "simhash-documents")
     kept = prints.join(grouped(prints), "fp").filter(F.col("id") == F.col("component_id")).select(
-        F.col("id.row").alias("kept_row"))
-    return table.join(kept, F.col(row) == F.col("kept_row"), "left_semi").select(*docs.columns)
+        F.col("id.row").alias(row))
+    return table.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

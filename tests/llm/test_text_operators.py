@@ -24,7 +24,8 @@ def odd(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, None, "en", None, 0), (3, LONG, None, "s", 9),
             (4, "a b c", "en", "s", 5), (4, "a b c", "en", "s", 5), (5, " \t\n\x0b\x0c\r ", "en", "t", 7),
             (6, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "en", "t", 1)]
-    extra = ("quality", "n_words", "row", "copies", "fp", "component_id", "ids", "spans", "size", "target")
+    extra = ("quality", "n_words", "row", "copies", "fp", "component_id", "ids", "spans", "size", "target", "limit", "_words",
+             "_Repeats", "kept_row", "mix_row", "simhash_row", "doc", "pick_row")
     df = spark.createDataFrame(rows, SCHEMA)
     return df.withColumns({c: F.lit("x") for c in extra})
 
