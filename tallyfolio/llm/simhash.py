@@ -12,6 +12,10 @@ their own. Every bucket reports a spanning star per group, not its pairs. Groups
 buckets are joined by the large-star / small-star rounds of Kiveris et al. (2014); each round
 is a table in the shared folder. Exact copies share one fingerprint and are one node.
 
+``first_of_each``, the stage of the pipeline, is not bound to these constants: 64 bits hardly tell
+a similarity of 0.8. It takes candidates from MinHash bands over five-word shingles and compares
+the whole shingle sets of each candidate before a document goes.
+
 Defined results: a null or blank text has fingerprint zero and links like any other; a null
 ``doc_id`` takes part but never names a group that has another id; repeated rows are copies of
 each other; an empty table gives an empty table.
@@ -38,6 +42,14 @@ CHUNK = 2048
 LANES = 1 << 18
 # Bit planes between two looks at which words can be abandoned.
 STRIDE = 8
+# Documents that stay: words of a shingle, least similarity in hundredths.
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
+# Pairs of similarity 0.8 share no band with odds of (1 - 0.8 ** 4) ** 24, about 3 in a million.
+BANDS, BAND_ROWS = 24, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+_FACTORS, _SHIFTS = _MIX[0] | np.uint64(1), _MIX[1]
+STAR_ROUNDS = 6
 
 
 def hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -349,17 +361,121 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return prints.join(grouped(prints), "fp").select("id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group: the one with the smallest id (null ids last)."""
+# ------------------------------------------------------------------ documents that stay
+
+def shingle_set(text: str | None, size: int = STAGE_SHINGLE) -> np.ndarray:
+    """Distinct shingle hashes of one whole text, sorted."""
+    return np.unique(np.array(hashes(text, size), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = STAGE_PERCENT) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is at least ``percent`` hundredths."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One bucket key per band of the smallest values of a set under ``BANDS * BAND_ROWS`` hashes."""
+    if not len(found):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for i in range(0, len(found), 4096):
+        least = np.minimum(least, (found[i:i + 4096, None] * _FACTORS + _SHIFTS).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least.reshape(BANDS, BAND_ROWS))],
+                    np.uint64).view(np.int64)
+
+
+def _bands(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("place"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["place", "copy", "keys"])
+    return run
+
+
+def _verified(size: int, percent: int):
+    """The rows (place, other) whose texts are similar; rows of one ``other`` follow each other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, None
+        for batch in batches:
+            good = []
+            for mine, text in zip(batch.column("text"), batch.column("other_text")):
+                if last is None or text != last:
+                    last, other = text, shingle_set(text.as_py(), size)
+                good.append(similar(shingle_set(mine.as_py(), size), other, percent))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["place", "other"])
+    return run
+
+
+def _dropped(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> list[DataFrame]:
+    """Tables (place) of the nodes that are similar to a staying node with a smaller place.
+
+    Round by round, a node that is the first of all its buckets stays, and what is similar to it
+    in its buckets goes. Buckets of many nodes that are not similar would take a round for each:
+    after ``STAR_ROUNDS`` all pairs of the buckets left are verified, and go on as buckets of two.
+    """
+    open_, gone, kept_texts = nodes.select("place", F.explode("keys").alias("key")), [], None
+    kind = nodes.schema["place"].dataType.simpleString()
+    rounds = 0
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        mine = kept_texts.select(F.col("row").alias("mine"), "text")
+        its = kept_texts.select(F.col("row").alias("its"), F.col("text").alias("other_text"))
+        both = (pairs.join(mine, F.col("place.row") == F.col("mine")).drop("mine")
+                .join(its, F.col("other.row") == F.col("its")).select("place", "other", "text", "other_text"))
+        return written(both.sortWithinPartitions("other").mapInArrow(
+            _verified(size, percent), f"place {kind}, other {kind}"), "near-verified")
+
+    while True:
+        firsts = written(open_.groupBy("key").agg(F.min("place").alias("other"), F.count("*").alias("n"))
+                         .filter("n > 1").drop("n"), "near-firsts")
+        if firsts.isEmpty():
+            return gone
+        shared = written(open_.join(firsts, "key"), "near-shared")
+        if kept_texts is None:
+            # Only texts with a candidate are read again.
+            named = written(shared.select(F.col("place.row").alias("row")).distinct(), "near-named")
+            kept_texts = written(texts.join(named, "row", "left_semi"), "near-texts")
+        if rounds == STAR_ROUNDS:
+            left = shared.select("key", "place")
+            pairs = left.join(left.withColumnRenamed("place", "other"), "key").filter("other < place")
+            found = verify(written(pairs.select("place", "other").distinct(), "near-pairs"))
+            open_ = found.select(F.explode(F.array("place", "other")).alias("place"),
+                                 F.xxhash64("place.row", "other.row").alias("key"))
+            rounds += 1
+            continue
+        sure = written(shared.groupBy("place").agg(F.max(F.col("other") < F.col("place")).alias("waits"))
+                       .filter("NOT waits").select("place"), "near-sure")
+        pairs = written(shared.filter("other < place").select("place", "other").distinct(), "near-pairs")
+        pairs = pairs.join(sure.select(F.col("place").alias("other")), "other", "left_semi")
+        out = written(verify(pairs).select("place").distinct(), "near-gone")
+        gone.append(out)
+        open_ = shared.select("place", "key").join(out.union(sure), "place", "left_anti")
+        rounds += 1
+
+
+def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = STAGE_SHINGLE,
+                  percent: int = STAGE_PERCENT) -> DataFrame:
+    """The documents without those similar to a staying one with a smaller id (null ids last).
+
+    A document goes only if the Jaccard similarity of its shingles with a document that stays,
+    computed from both whole texts, is at least ``percent`` hundredths.
+    """
     row = fresh(docs, "simhash_row")
     table = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-input")
     # The row goes along with the id, so that repeated ids stay apart.
     place = F.struct(F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
-    prints = written(fingerprints(table.select(F.col(text).alias("text"), place.alias("place")), "text", "place"),
-                     "simhash-documents")
-    kept = prints.join(grouped(prints), "fp").filter(F.col("id") == F.col("component_id")).select(
-        F.col("id.row").alias(row))
-    return table.join(kept, row, "left_semi").select(*docs.columns)
+    given = table.select(F.col(text).alias("text"), place.alias("place"))
+    kind = given.schema["place"].dataType.simpleString()
+    prints = given.mapInArrow(_bands(shingle), f"place {kind}, copy binary, keys array<bigint>")
+    # Copies have one set of shingles; the first of them stands for all.
+    nodes = written(prints.groupBy("copy").agg(F.min(F.struct("place", "keys")).alias("first")).select("first.*"), "near-nodes")
+    kept = nodes.select("place")
+    for out in _dropped(nodes, table.select(F.col(row).alias("row"), F.col(text).alias("text")), shingle, percent):
+        kept = kept.join(out, "place", "left_anti")
+    return table.join(kept.select(F.col("place.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,36 @@ def test_one_document_of_each_group_stays(spark, odd):
     assert near == {(None, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (6, 6)}
 
 
+@pytest.mark.parametrize("star_rounds", [6, 0])
+def test_documents_similar_to_a_staying_one_go(spark, monkeypatch, star_rounds):
+    """Similarities around 0.8, chains of links, copies and null ids, against all pairs in order of ids."""
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", star_rounds)
+    rng = random.Random(12)
+    rows = []
+    for g in range(25):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randint(60, 150))]
+        rows.append((" ".join(words), "en", "s"))
+        for _ in range(6):
+            if rng.random() < 0.5:
+                words = list(words)     # a chain: each from the one before
+            changed = list(words)
+            for _ in range(rng.randint(0, 3)):
+                changed[rng.randrange(len(changed))] = f"x{rng.randrange(10 ** 6)}"
+            rows.append((" ".join(changed), "en", "s"))
+            words = changed if rng.random() < 0.7 else words
+    rng.shuffle(rows)
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+    sets, want = [shingles(t) for t, _, _ in rows], []
+    for i, s in enumerate(sets):
+        if not any(10 * len(s & sets[k]) >= 8 * len(s | sets[k]) for k in want):
+            want.append(i)
+    got = sorted(r.doc_id for r in simhash.first_of_each(table(spark, rows)).collect())
+    assert got == want and 25 < len(want) < len(rows) - 25
+
+
 # ------------------------------------------------------------------ secrets
 
 WORDS = {"secret": 3, "available": 90, "correct": 50, "horse": 80, "the": 1}
