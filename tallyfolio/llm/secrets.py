@@ -33,7 +33,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex")
 
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|authorization|bearer"""
+    r"""((?ai:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|authorization|bearer"""
     r"""|(?:api|access|private|secret|signing)[_\x20-]?key|client[_\x20-]?secret))["']?"""
     r"""(?:(\x20*(?:=>|:=|[:=])\x20*)|\x20+(?ai:is|was)\x20+|\x20+)(?:(?ai:bearer|basic)\x20+)?"""
     r"""(["'`]?)([^\s"'`<>,;]{6,})""")
@@ -173,19 +173,27 @@ def find_spans(text: str | None, words: dict[str, int], min_bits: float = MIN_BI
         found.append(Span("hex", m.start(), m.end(), m.start(), True))
     if hinted:
         taken = sorted((s.start, s.end) for s in found)
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(3)
+        m = CONTEXT.search(text)
+        while m:
+            # What a keyword rejects may hold another keyword: the search goes on behind the first.
+            at, bits = m.end(1), None
+            start, end = m.span(4)
             while end > start and text[end - 1] in ".!?)]}":
                 end -= 1
             value = text[start:end]
-            # A bare word of letters is prose in some language, unless it is quoted and assigned.
-            if value.isalpha() and (value.islower() or value[1:].islower()) and not (m[1] and m[2]):
-                continue
-            if any(a < end and m.start() < b for a, b in taken):
-                continue
-            bits = guess_bits(value, words)
-            if bits >= min_bits:
+            over = [t for t in taken if t[0] < end and m.start() < t[1]]
+            inner = None if m[2] else CONTEXT.match(text, start)
+            if over:
+                at = max([at, *(b for a, b in over if a <= at)])
+            elif inner and inner[2]:
+                at = start
+            # A bare word of letters is prose in some language, unless it is assigned.
+            elif m[2] or not (value.isalpha() and (value.islower() or value[1:].islower())):
+                bits = guess_bits(value, words)
+            if bits is not None and bits >= min_bits:
                 found.append(Span("assign", m.start(), end, start, False, bits))
+                at = end
+            m = CONTEXT.search(text, at)
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 

@@ -228,6 +228,23 @@ def test_context_values_are_added_and_masked(spark, odd):
     assert secrets.mask_secrets(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "bearer token: h7#Kq!9zP@w2", "secret password: h7#Kq!9zP@w2", "secret password:h7#Kq!9zP@w2", "DB_PASSWORD=h7#Kq!9zP@w2",
+    "MYSQL_PASSWORD: h7#Kq!9zP@w2", "my_api_key=h7#Kq!9zP@w2", "dbPassword = h7#Kq!9zP@w2"])
+def test_every_value_in_context_is_judged(text):
+    words = secrets.ranked_words(secrets.words_path())
+    assert [text[s.value:s.end] for s in secrets.find_spans(text, words) if not s.base] == ["h7#Kq!9zP@w2"]
+
+
+def test_assigned_letters_are_judged_by_cost():
+    words = secrets.ranked_words(secrets.words_path())
+    assert [s.value for s in secrets.find_spans("pwd=xqzjvkwpgf", words)] == [4]
+    assert [s.value for s in secrets.find_spans("Credentials: Xqzjvkwpgf", words)] == [13]
+    for text in ("pwd: available", "pwd xqzjvkwpgf", "bearer token: available"):
+        assert not secrets.find_spans(text, words)
+    assert len(secrets.find_spans("token=" * 20_000, words)) == 1
+
+
 # ------------------------------------------------------------------ personal data
 
 FORMATS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
