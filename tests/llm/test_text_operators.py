@@ -308,6 +308,22 @@ def test_candidates_are_learnt_from_the_corpus(spark, odd):
     assert pii.learn(odd.limit(0)).trees is None and pii.pii_spans(odd, pii.learn(odd)).count() == odd.count()
 
 
+@pytest.mark.parametrize("kind, text, labels", [
+    ("card", "paid by 4111.1111.1111.1111 today", {1}), ("card", "paid by 4111.1111.1111.1112 today", {0}),
+    ("email", "write to bob [at] host [dot] com today", {1}), ("email", "we met at noon dot then left", set()),
+    ("ip", "host 1[.]2[.]3[.]4 up", {1}), ("ip", "host 1[.]2[.]3[.]456 up", {0}), ("ip", "rows 1,2,3,4 only", set()),
+    ("ip", "host 2001:db8::8:800:200c:417a up", {1}), ("ip", "came 12:30:45 here", {0}), ("phone", "order 12345 6789 0", set()),
+    ("phone", "tel. 659 555 3949 now", set()), ("phone", "sum 659 555 3949 now", {0})])
+def test_real_candidates_are_labelled_by_their_own_test(kind, text, labels):
+    assert {y for k, _, y in pii.examples(text) if k == kind} == labels
+
+
+def test_version_6_addresses_have_examples_of_both_classes():
+    found = [(x, y) for i in range(20) for k, x, y in pii.examples(f"host 10.0.{i}.7 is up") if k == "ip"]
+    colons = {y for x, y in found if x[13] >= 2}
+    assert colons == {0, 1}
+
+
 # ------------------------------------------------------------------ mixing
 
 def plain_targets(sizes):
