@@ -14,14 +14,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and lost executors cannot undo it.
 
-    The folder is the cluster's (``spark.checkpoint.dir``) and so is its clean-up.
+    The folder is the cluster's (``spark.checkpoint.dir``) and so is its clean-up. ``options``
+    are the Parquet writer's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
