@@ -1,9 +1,11 @@
 """The registered queries of the corpus operators, and SQL twins where SQL can express them."""
 from __future__ import annotations
 
-from tallyfolio.llm import ball_tree, mixing, pair_index, pii, prefix_counts, quality, secrets, simhash, token_files, toxicity
+from tallyfolio.llm import (ball_tree, hard_negatives, mixing, pair_index, pii, positional, prefix_counts, prefix_trie, quality,
+                            secrets, simhash, token_files, toxicity)
 
-_PARTS = (quality, simhash, secrets, mixing, pair_index, pii, prefix_counts, token_files, ball_tree, toxicity, pii)
+_PARTS = (pair_index, pii, toxicity, secrets, simhash, mixing, prefix_counts, ball_tree, quality, token_files, prefix_trie,
+          hard_negatives, positional)
 
 
 def queries() -> dict:
