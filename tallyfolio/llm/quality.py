@@ -2,12 +2,16 @@
 
 Four rates of a document (symbols, duplicate lines, repeated word windows, word length) are
 summarised per (language, source) in mergeable quantile sketches: counts per log-linear
-bucket of an integer rate, as in DDSketch. Sketches add, so a group too small to speak for
-itself uses the merged sketch of its language, or of everything. A document is rejected
-where a rate lies above the group's fence, ``median + REACH * (upper quartile - median)``,
-but never below the rate's slack: a source without any symbols must not make two of them
-an outlier. A source that is mostly junk has a high fence, so the fence of its language is a
-second bound.
+bucket of an integer rate, as in DDSketch. Sketches add: a group's sketch is merged with
+``PRIOR`` documents' worth of its language's, a language's with as much of everything, so a
+small group leans on its language and a large one speaks for itself. A document is rejected
+where a rate lies above the group's fence, ``median + REACH * spread``. The spread is that from
+the median to the upper quartile; where they coincide, to the upper tenth; and ``UNITS`` at
+least, since a source without any symbols must not make two of them an outlier. A source that
+is mostly junk has a high fence, so the fence of its language is a second bound.
+
+A rate of a short document says little: its count must exceed what the fence allows by a few
+symbols, lines, words or characters (``COUNTED``); one repeated sentence is no evidence.
 
 Defined results: a null text has no words and fails the base rules; a null language or source
 is a group of its own; repeated rows are judged alike; an empty table gives an empty table.
@@ -15,6 +19,9 @@ Repeated word windows are found by 64-bit hashes within one document.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyfolio.llm.common import documents, fresh, words, written
@@ -22,12 +29,16 @@ from tallyfolio.llm.common import documents, fresh, words, written
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = r"[^#*$%&|<>]"
-MIN_GROUP = 200
-REACH = 6
+# Documents' worth of the wider sketch that a group's own is merged with.
+PRIOR = 50
+REACH = 12
 # Rates are per 1000 words (or lines); word length is in hundredths of a character.
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-# Below this value a rate never rejects, whatever the group's fence says.
-SLACK = {"symbol_rate": 250, "dup_line_rate": 400, "repeat_rate": 450, "word_length": 1200}
+# Least spread, in units of the rate.
+UNITS = 5
+# Count, what it is counted in, rate units, and how many of it must lie beyond the fence.
+COUNTED = {"symbol_rate": ("n_symbols", "n_words", 1000, 3), "dup_line_rate": ("n_dup_lines", "n_lines", 1000, 3),
+           "repeat_rate": ("n_repeat_words", "n_words", 1000, 30), "word_length": ("word_chars", "n_words", 100, 30)}
 _EXACT = 64
 
 
@@ -78,13 +89,8 @@ def measured(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
 
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
     return df.withColumn(out, F.struct(
-        q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"),
-        q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"),
-        q["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
-        per(q["n_symbols"], q["n_words"], 1000).alias("symbol_rate"),
-        per(q["n_dup_lines"], q["n_lines"], 1000).alias("dup_line_rate"),
-        per(q["n_repeat_words"], q["n_words"], 1000).alias("repeat_rate"),
-        per(q["word_chars"], q["n_words"], 100).alias("word_length")))
+        *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")],
+        failed.alias("base_failed"), *[per(q[top], q[of], unit).alias(r) for r, (top, of, unit, _) in COUNTED.items()]))
 
 
 def bucket(v: Column) -> Column:
@@ -105,35 +111,48 @@ def sketches(features: DataFrame, lang: str = "lang", source: str = "source",
             .groupBy("lang", "source", "rate", "b").agg(F.count("*").alias("n")))
 
 
+def merged(own: DataFrame, wide: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """Sketches ``own`` (keys, rate, b, n), each with ``PRIOR`` documents' worth of ``wide`` (on, rate, b, n).
+
+    Counts are multiplied by the wide sketch's total instead of dividing the prior by it.
+    """
+    whole = "decimal(38,0)"
+    wide = wide.select(*[F.col(c).alias(f"w_{c}") for c in [*on, "rate", "b", "n"]])
+    totals = wide.groupBy(*[f"w_{c}" for c in [*on, "rate"]]).agg(F.sum("w_n").alias("w_total"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in [*on, "rate"]])
+    mine = own.join(totals, same).select(*keys, "rate", "b", (F.col("n").cast(whole) * F.col("w_total").cast(whole)).cast(whole).alias("n"))
+    prior = own.select(*keys, "rate").distinct().join(wide, same).select(
+        *keys, "rate", F.col("w_b").alias("b"), (F.col("w_n").cast(whole) * PRIOR).cast(whole).alias("n"))
+    return mine.unionByName(prior).groupBy(*keys, "rate", "b").agg(F.sum("n").alias("n"))
+
+
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Median, upper quartile and size per group, read off the merged sketches."""
+    """The fence per group, read off its sketch."""
     group = Window.partitionBy(*keys, "rate")
-    merged = sketch.groupBy(*keys, "rate", "b").agg(F.sum("n").alias("n"))
-    ranked = merged.select(
+    ranked = sketch.select(
         *keys, "rate", "b", F.sum("n").over(group).alias("total"),
         F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)).alias("seen"))
-    # A quantile is the first bucket at which that share of the rows has been seen.
+
+    def quantile(part: int, of: int) -> Column:
+        # The first bucket at which that share of the rows has been seen.
+        return F.min(F.when(F.col("seen") * of >= F.col("total") * part, F.col("b")))
+
     quart = ranked.groupBy(*keys, "rate").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("seen") * 2 >= F.col("total"), F.col("b"))).alias("mid"),
-        F.min(F.when(F.col("seen") * 4 >= F.col("total") * 3, F.col("b"))).alias("high"))
-    return quart.select(*keys, "rate", "total",
-                        (F.col("mid") + REACH * (F.col("high") - F.col("mid"))).alias("fence"))
+        quantile(1, 2).alias("mid"), quantile(3, 4).alias("high"), quantile(9, 10).alias("tail"))
+    spread = F.greatest(F.when(F.col("high") > F.col("mid"), F.col("high")).otherwise(F.col("tail")) - F.col("mid"), F.lit(UNITS))
+    return quart.select(*keys, "rate", (F.col("mid") + REACH * spread).alias("fence"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per (lang, source): the value above which each rate rejects."""
-    own = _fences(sketch, ["lang", "source"])
-    by_lang = _fences(sketch, ["lang"]).select(
-        F.col("lang").alias("l"), F.col("rate").alias("r"), F.col("total").alias("lang_total"),
-        F.col("fence").alias("lang_fence"))
-    overall = _fences(sketch, []).select(F.col("rate").alias("g"), F.col("fence").alias("all_fence"))
-    df = (own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r")))
-          .join(overall, F.col("rate") == F.col("g")))
-    wide = F.when(F.col("lang_total") >= MIN_GROUP, F.col("lang_fence")).otherwise(F.col("all_fence"))
-    fence = F.when(F.col("total") >= MIN_GROUP, F.least("fence", wide)).otherwise(wide)
+    of_lang = sketch.groupBy("lang", "rate", "b").agg(F.sum("n").alias("n"))
+    overall = of_lang.groupBy("rate", "b").agg(F.sum("n").alias("n"))
+    own = _fences(merged(sketch, of_lang, ["lang", "source"], ["lang"]), ["lang", "source"])
+    wide = _fences(merged(of_lang, overall, ["lang"], []), ["lang"]).select(
+        F.col("lang").alias("l"), F.col("rate").alias("r"), F.col("fence").alias("wide"))
+    df = own.join(wide, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r")))
     return df.groupBy("lang", "source").agg(*[
-        F.greatest(F.max(F.when(F.col("rate") == r, fence)), F.lit(SLACK[r])).alias(r) for r in RATES])
+        F.max(F.when(F.col("rate") == r, F.least("fence", "wide"))).alias(r) for r in RATES])
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -151,14 +170,14 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     columns = docs.columns if columns is None else columns
     features = measured(docs, text, out).select(*dict.fromkeys([*columns, lang, source]), out)
     features = written(features, "quality-features")
-    limits = written(thresholds(sketches(features, lang, source, out)), "quality-thresholds")
+    limits = written(thresholds(written(sketches(features, lang, source, out), "quality-sketches")), "quality-thresholds")
     limit = fresh(features, "limit")
     limits = limits.select(F.struct("*").alias(limit))
     df = features.join(limits, F.col(lang).eqNullSafe(F.col(limit)["lang"])
                        & F.col(source).eqNullSafe(F.col(limit)["source"]), "left")
     fine = F.lit(True)
-    for r in RATES:
-        fine = fine & (F.col(out)[r] <= F.col(limit)[r])
+    for r, (top, of, unit, least) in COUNTED.items():
+        fine = fine & (unit * (F.col(out)[top] - least) <= F.col(limit)[r] * F.col(out)[of])
     kept = ~F.col(out)["base_failed"] & F.coalesce(fine, F.lit(False))
     return df.select(*columns, F.col(out).withField("kept", kept).alias(out))
 
@@ -188,20 +207,31 @@ def _oracle() -> str:
         f"SELECT lang, source, '{r}' AS rate, {_BUCKET.format(r)} AS b FROM feats WHERE NOT base_failed"
         for r in RATES)
 
-    def fences(name: str, keys: str) -> str:
-        on = keys + ", " if keys else ""
+    def merged_sql(name: str, own: str, wide: str, keys: str, on: str) -> str:
+        same = f"o.{on} IS NOT DISTINCT FROM w.{on} AND " if on else ""
+        of = f"{on}, " if on else ""
+        names = ", ".join(f"o.{k.strip()}" for k in keys.split(","))
         return f"""{name} AS (
-  SELECT {on}rate, max(total) AS total,
-         min(b) FILTER (seen * 2 >= total) AS mid, min(b) FILTER (seen * 4 >= total * 3) AS high
-  FROM (SELECT {on}rate, b, sum(n) OVER (PARTITION BY {on}rate) AS total,
-               sum(n) OVER (PARTITION BY {on}rate ORDER BY b ROWS UNBOUNDED PRECEDING) AS seen
-        FROM (SELECT {on}rate, b, count(*) AS n FROM stacked GROUP BY {on}rate, b))
-  GROUP BY {on}rate)"""
-
-    slack = " ".join(f"WHEN '{r}' THEN {SLACK[r]}" for r in RATES)
+  SELECT {keys}, rate, b, sum(n) AS n FROM (
+    SELECT {names}, o.rate, o.b, o.n::HUGEINT * w.total AS n
+    FROM {own} o JOIN (SELECT {of}rate, sum(n) AS total FROM {wide} GROUP BY {of}rate) w ON {same}o.rate = w.rate
+    UNION ALL
+    SELECT {names}, o.rate, w.b, w.n::HUGEINT * {PRIOR}
+    FROM (SELECT DISTINCT {keys}, rate FROM {own}) o JOIN {wide} w ON {same}o.rate = w.rate)
+  GROUP BY {keys}, rate, b)"""
+
+    def fences(name: str, sketch: str, keys: str) -> str:
+        return f"""{name} AS (
+  SELECT {keys}, rate, mid + {REACH} * greatest(CASE WHEN high > mid THEN high ELSE tail END - mid, {UNITS}) AS fence
+  FROM (SELECT {keys}, rate, min(b) FILTER (seen * 2 >= total) AS mid, min(b) FILTER (seen * 4 >= total * 3) AS high,
+               min(b) FILTER (seen * 10 >= total * 9) AS tail
+        FROM (SELECT {keys}, rate, b, sum(n) OVER (PARTITION BY {keys}, rate) AS total,
+                     sum(n) OVER (PARTITION BY {keys}, rate ORDER BY b ROWS UNBOUNDED PRECEDING) AS seen
+              FROM {sketch})
+        GROUP BY {keys}, rate))"""
+
     limits = ", ".join(f"max(fence) FILTER (rate = '{r}') AS {r}" for r in RATES)
-    fine = " AND ".join(f"f.{r} <= l.{r}" for r in RATES)
-    fence = "{0}.mid + %d * ({0}.high - {0}.mid)" % REACH
+    fine = " AND ".join(f"{unit} * (f.{top} - {least}) <= l.{r} * f.{of}" for r, (top, of, unit, least) in COUNTED.items())
     return f"""
 WITH base AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -233,16 +263,16 @@ feats AS (
          CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS word_length
   FROM counted),
 stacked AS ({stacked}),
-{fences("own", "lang, source")},
-{fences("by_lang", "lang")},
-{fences("overall", "")},
+sketch AS (SELECT lang, source, rate, b, count(*) AS n FROM stacked GROUP BY ALL),
+of_lang AS (SELECT lang, rate, b, sum(n) AS n FROM sketch GROUP BY ALL),
+overall AS (SELECT rate, b, sum(n) AS n FROM of_lang GROUP BY ALL),
+{merged_sql("own_merged", "sketch", "of_lang", "lang, source", "lang")},
+{merged_sql("lang_merged", "of_lang", "overall", "lang", "")},
+{fences("own", "own_merged", "lang, source")},
+{fences("by_lang", "lang_merged", "lang")},
 fence AS (
-  SELECT o.lang, o.source, o.rate,
-         greatest(CASE o.rate {slack} END,
-                  CASE WHEN o.total >= {MIN_GROUP} THEN least({fence.format("o")}, wide) ELSE wide END) AS fence
-  FROM (SELECT o.*, CASE WHEN l.total >= {MIN_GROUP} THEN {fence.format("l")} ELSE {fence.format("a")} END AS wide
-        FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate
-        JOIN overall a ON o.rate = a.rate) o),
+  SELECT o.lang, o.source, o.rate, least(o.fence, l.fence) AS fence
+  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate),
 limits AS (SELECT lang, source, {limits} FROM fence GROUP BY lang, source)
 SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
        NOT f.base_failed AND coalesce({fine}, false) AS kept,

@@ -68,6 +68,32 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert got == {i for i in range(450) if i % 9}
 
 
+def test_fences_follow_their_source_not_constants(spark):
+    """A clean source beside a junky one, and a source whose habit is symbols, in a language of its own."""
+    rng = random.Random(4)
+
+    def doc(symbols):
+        ws = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(200)]
+        return " ".join(w + "#" if i < symbols else w for i, w in enumerate(ws))
+    rows = [(doc(rng.randint(0, 2)), "en", "clean") for _ in range(300)] + [(doc(rng.randint(60, 199)), "en", "junky") for _ in range(120)]
+    rows += [(doc(rng.randint(20, 30)), "code", "habit") for _ in range(200)]
+    rows += [(doc(30), "en", "clean"), (doc(45), "code", "habit"), (doc(150), "code", "habit")]
+    got = {r.doc_id: r.verdict for r in quality.judged(table(spark, rows), out="verdict").collect()}
+    assert all(got[i].kept for i in range(300)) and all(got[i].kept for i in range(420, 620))
+    # 150 symbols per 1000 words are far out among clean texts; among habitual ones they are not, 750 are.
+    assert [got[i].kept for i in (620, 621, 622)] == [False, True, False]
+    limits = {r.source: r.symbol_rate for r in quality.thresholds(quality.sketches(
+        quality.measured(table(spark, rows)))).collect()}
+    assert limits["clean"] < 100 < limits["habit"] < limits["junky"]
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rows = [("word " * 10 + " ".join(f"w{i}x{j}" for j in range(60)), "en", "large") for i in range(300)]
+    rows += [("".join(f"w{i}y{j}# " for j in range(60)), "en", "tiny") for i in range(3)]
+    got = quality.judged(table(spark, rows), out="verdict").filter("source = 'tiny'").collect()
+    assert len(got) == 3 and not any(r.verdict.kept for r in got)
+
+
 def test_quality_of_odd_rows(spark, odd):
     judged = quality.judged(odd, out="verdict")
     assert judged.count() == odd.count() and judged.filter("verdict.kept").count() == 0
