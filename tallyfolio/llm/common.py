@@ -1,6 +1,7 @@
 """What the corpus operators share: words, written tables, column names."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyfolio.session import scratch_path
@@ -26,6 +27,22 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(df: DataFrame, row: str, name: str, stored: bool = False) -> DataFrame:
+    """``df`` with a column ``row`` that names a row alike whenever it is read again.
+
+    ``stored`` says that ``df`` is Parquet files as they are read: file and position name the row,
+    and nothing is copied. Without it, or where those are not to be had, the rows are written once.
+    """
+    if stored and "_metadata" not in {c.lower() for c in df.columns}:
+        path = F.col("_metadata.file_path")
+        try:
+            return df.select("*", F.struct(F.xxhash64(path).alias("file"), F.hash(path).alias("file_too"),
+                                           F.col("_metadata.row_index").alias("at")).alias(row))
+        except AnalysisException:
+            pass
+    return written(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not use, whatever the case of its letters."""
     used = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyfolio.llm.common import documents, fresh, word_count, written
+from tallyfolio.llm.common import documents, fresh, with_row, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -29,10 +29,12 @@ def running(df: DataFrame, name: str, order: list[Column], sums: dict[str, Colum
             within: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with running totals of ``sums`` in ``order``, restarted per ``within``.
 
-    ``within`` columns hold no nulls. Equal rows in ``order`` fall into one block.
+    ``within`` columns hold no nulls. Rows equal in ``order`` may stand in several blocks.
     """
     values = {f"v_{k}": v.cast("bigint") for k, v in sums.items()}
-    ranged = written(df.withColumns(values).repartitionByRange(*within, *order)
+    tie = fresh(df, "tie")
+    order = [*order, F.col(tie)]
+    ranged = written(df.withColumns(values | {tie: F.monotonically_increasing_id()}).repartitionByRange(*within, *order)
                      .withColumn("block", F.spark_partition_id()), name)
     before = Window.partitionBy(*within).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy(*within, "block").agg(*[F.sum(v).alias(v) for v in values])
@@ -84,7 +86,13 @@ def _turn(finish: Column, rank: Column, copy: Column, place: Column) -> Column:
 
 
 def schedule(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """``sizes`` (doc_id, source, size and others) with source_size, target and ``copies`` taken."""
+    """``sizes`` (doc_id, source, size and others) with source_size, target and ``copies`` taken.
+
+    The others go along; they may not bear a name that the schedule adds.
+    """
+    added = {"rank", "source_size", "target", "ticket", "spent", "place", "block", "copies"}
+    if clash := added & {c.lower() for c in sizes.columns}:
+        raise ValueError(f"the schedule adds columns of these names: {sorted(clash)}")
     goal = targets(sizes, weights, most).withColumnRenamed("source", "of_source")
     known = sizes.join(goal, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
     known = known.withColumn("ticket", F.md5(F.col("doc_id").cast("string")))
@@ -111,16 +119,18 @@ def schedule(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
-          weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its columns as they were."""
-    row, size = fresh(docs, "mix_row"), fresh(docs, "mix_size")
-    sized = written(docs.withColumn(row, F.monotonically_increasing_id())
-                    .withColumn(size, word_count(F.col(text))), "mix-docs")
-    narrow = sized.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"),
-                          F.col(source).alias("source"), F.col(size).alias("size"))
-    picks = schedule(narrow, weights, most).filter("copies > 0").select(
-        F.col("row").alias("pick_row"), F.col("copies").alias("pick_copies"))
-    both = sized.select(F.struct(*docs.columns).alias("doc"), F.col(row).alias("doc_row")).join(
+          weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, stored: bool = False) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with its columns as they were.
+
+    ``stored`` says that ``docs`` is Parquet files as they are read; otherwise the rows are written once.
+    """
+    row = fresh(docs, "mix_row")
+    table = with_row(docs, row, "mix-docs", stored)
+    narrow = written(table.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+                                  word_count(F.col(text)).alias("size")), "mix-sizes")
+    picks = written(schedule(narrow, weights, most).filter("copies > 0").select(
+        F.col("row").alias("pick_row"), F.col("copies").alias("pick_copies")), "mix-picks")
+    both = table.select(F.struct(*docs.columns).alias("doc"), F.col(row).alias("doc_row")).join(
         picks, F.col("doc_row") == F.col("pick_row"))
     return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("pick_copies")))).select("doc.*")
 

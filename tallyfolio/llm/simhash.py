@@ -14,7 +14,8 @@ is a table in the shared folder. Exact copies share one fingerprint and are one
 
 ``first_of_each``, the stage of the pipeline, is not bound to these constants: 64 bits hardly tell
 a similarity of 0.8. It takes candidates from MinHash bands over five-word shingles and compares
-the whole shingle sets of each candidate before a document goes.
+the whole shingle sets of each candidate before a document goes. Groups of many documents that are
+alike but below 0.8 are told apart by an exact prefix filter, not pair by pair.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; a null
 ``doc_id`` takes part but never names a group that has another id; repeated rows are copies of
@@ -27,9 +28,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyfolio.llm.common import documents, fresh, written
+from tallyfolio.llm.common import documents, fresh, with_row, written
 
 SEED = 42
 SHINGLE = 3
@@ -390,8 +391,17 @@ def _bands(size: int):
         for batch in batches:
             sets = [shingle_set(t.as_py(), size) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("place"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["place", "copy", "keys"])
+                [batch.column("place"), pa.array(map(len, sets), pa.int64()),
+                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["place", "n", "copy", "keys"])
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
     return run
 
 
@@ -405,32 +415,81 @@ def _verified(size: int, percent: int):
                 if last is None or text != last:
                     last, other = text, shingle_set(text.as_py(), size)
                 good.append(similar(shingle_set(mine.as_py(), size), other, percent))
-            yield batch.filter(pa.array(good, pa.bool_())).select(["place", "other"])
+            yield batch.filter(pa.array(good, pa.bool_())).select(["place", "n", "other", "other_n"])
     return run
 
 
+def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be that similar at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def prefix_pairs(sets: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
+    """(one, two): pairs of ``sets`` (member, n, shingles) that may be similar; no similar pair is left out.
+
+    Shingles are ordered from the rarest on. Two sets of n <= m shingles that share ``need`` of them,
+    ``percent / (100 + percent) * (n + m)`` at least, have one in common among the first
+    ``n - 2 * percent / (100 + percent) * n + 1`` of the smaller and ``m - percent / 100 * m + 1`` of
+    the larger, and beyond the first common one room for the others (the prefix and positional
+    filters of similarity joins, Xiao et al. 2008). A passage in many texts is no rare shingle of
+    any, so it makes no pairs. Shingles of one set only come first and can be left out.
+    """
+    flat = sets.select("member", "n", F.explode("shingles").alias("s"))
+    counts = written(flat.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"), "near-counts")
+    n = F.col("n")
+    common = flat.join(counts, "s").groupBy("member", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))
+    alone = n - F.size("l")
+    probe = n - F.ceil(percent * n / 100) + 1
+    index = n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    first = common.select("member", "n", index.alias("index"), alone.alias("alone"),
+                          F.posexplode(F.slice("l", F.lit(1), F.greatest(probe - alone, F.lit(0)).cast("int"))).alias("k", "x"))
+    first = written(first.select("member", "n", F.col("x.s").alias("s"), (F.col("alone") + F.col("k") + 1).alias("at"), "index"), "near-prefixes")
+    one, two = (first.select("s", *[F.col(c).alias(f"{c}{k}") for c in ("member", "n", "at", "index")]) for k in (1, 2))
+    need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    near = ((F.struct("n1", "member1") < F.struct("n2", "member2")) & (F.col("at1") <= F.col("index1"))
+            & _sizes_fit(F.col("n1"), F.col("n2"), percent)
+            & (1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= need))
+    return (one.join(two, (one["s"] == two["s"]) & near)
+            .select(F.col("member1").alias("one"), F.col("member2").alias("two")).distinct())
+
+
 def _dropped(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> list[DataFrame]:
     """Tables (place) of the nodes that are similar to a staying node with a smaller place.
 
     Round by round, a node that is the first of all its buckets stays, and what is similar to it
     in its buckets goes. Buckets of many nodes that are not similar would take a round for each:
-    after ``STAR_ROUNDS`` all pairs of the buckets left are verified, and go on as buckets of two.
+    after ``STAR_ROUNDS`` the nodes left are joined by their rarest shingles, and the pairs that are
+    similar go on as buckets of two.
     """
-    open_, gone, kept_texts = nodes.select("place", F.explode("keys").alias("key")), [], None
+    open_, gone, kept_texts = nodes.select("place", "n", F.explode("keys").alias("key")), [], None
     kind = nodes.schema["place"].dataType.simpleString()
     rounds = 0
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.filter(_sizes_fit(F.col("n"), F.col("other_n"), percent)).distinct(), "near-pairs")
         mine = kept_texts.select(F.col("row").alias("mine"), "text")
         its = kept_texts.select(F.col("row").alias("its"), F.col("text").alias("other_text"))
         both = (pairs.join(mine, F.col("place.row") == F.col("mine")).drop("mine")
-                .join(its, F.col("other.row") == F.col("its")).select("place", "other", "text", "other_text"))
+                .join(its, F.col("other.row") == F.col("its")).select("place", "n", "other", "other_n", "text", "other_text"))
         return written(both.sortWithinPartitions("other").mapInArrow(
-            _verified(size, percent), f"place {kind}, other {kind}"), "near-verified")
+            _verified(size, percent), f"place {kind}, n bigint, other {kind}, other_n bigint"), "near-verified")
+
+    def similar_pairs(left: DataFrame) -> DataFrame:
+        """All similar pairs of the nodes ``left`` (place, n), a smaller place as ``other``."""
+        found = kept_texts.join(left.select(F.col("place.row").alias("row")), "row", "left_semi").mapInArrow(
+            _sets(size), f"row {texts.schema['row'].dataType.simpleString()}, shingles array<bigint>")
+        sets = written(left.join(found, F.col("place.row") == F.col("row")).select(
+            F.monotonically_increasing_id().alias("member"), "place", "n", "shingles"), "near-sets")
+        named = sets.select("member", F.struct("place", "n").alias("node"))
+        pairs = (prefix_pairs(sets.select("member", "n", "shingles"), percent)
+                 .join(named.toDF("one", "a"), "one").join(named.toDF("two", "b"), "two"))
+        pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+        return verify(pairs.select("x.*", F.col("y.place").alias("other"), F.col("y.n").alias("other_n")))
 
     while True:
-        firsts = written(open_.groupBy("key").agg(F.min("place").alias("other"), F.count("*").alias("n"))
-                         .filter("n > 1").drop("n"), "near-firsts")
+        firsts = written(open_.groupBy("key").agg(F.min(F.struct("place", "n")).alias("first"), F.count("*").alias("many"))
+                         .filter("many > 1").select("key", F.col("first.place").alias("other"), F.col("first.n").alias("other_n")),
+                         "near-firsts")
         if firsts.isEmpty():
             return gone
         shared = written(open_.join(firsts, "key"), "near-shared")
@@ -439,43 +498,43 @@ def _dropped(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> lis
             named = written(shared.select(F.col("place.row").alias("row")).distinct(), "near-named")
             kept_texts = written(texts.join(named, "row", "left_semi"), "near-texts")
         if rounds == STAR_ROUNDS:
-            left = shared.select("key", "place")
-            pairs = left.join(left.withColumnRenamed("place", "other"), "key").filter("other < place")
-            found = verify(written(pairs.select("place", "other").distinct(), "near-pairs"))
-            open_ = found.select(F.explode(F.array("place", "other")).alias("place"),
-                                 F.xxhash64("place.row", "other.row").alias("key"))
+            found = similar_pairs(written(shared.select("place", "n").distinct(), "near-left"))
+            node = F.array(F.struct("place", "n"), F.struct(F.col("other").alias("place"), F.col("other_n").alias("n")))
+            open_ = found.select(F.xxhash64("place.row", "other.row").alias("key"), F.explode(node).alias("node")).select("node.*", "key")
             rounds += 1
             continue
         sure = written(shared.groupBy("place").agg(F.max(F.col("other") < F.col("place")).alias("waits"))
                        .filter("NOT waits").select("place"), "near-sure")
-        pairs = written(shared.filter("other < place").select("place", "other").distinct(), "near-pairs")
+        pairs = shared.filter("other < place").select("place", "n", "other", "other_n")
         pairs = pairs.join(sure.select(F.col("place").alias("other")), "other", "left_semi")
         out = written(verify(pairs).select("place").distinct(), "near-gone")
         gone.append(out)
-        open_ = shared.select("place", "key").join(out.union(sure), "place", "left_anti")
+        open_ = shared.select("place", "n", "key").join(out.union(sure), "place", "left_anti")
         rounds += 1
 
 
 def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = STAGE_SHINGLE,
-                  percent: int = STAGE_PERCENT) -> DataFrame:
+                  percent: int = STAGE_PERCENT, stored: bool = False) -> DataFrame:
     """The documents without those similar to a staying one with a smaller id (null ids last).
 
     A document goes only if the Jaccard similarity of its shingles with a document that stays,
-    computed from both whole texts, is at least ``percent`` hundredths.
+    computed from both whole texts, is at least ``percent`` hundredths. ``stored`` says that ``docs``
+    is Parquet files as they are read; otherwise the rows are written once.
     """
     row = fresh(docs, "simhash_row")
-    table = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-input")
+    table = with_row(docs, row, "simhash-input", stored)
     # The row goes along with the id, so that repeated ids stay apart.
     place = F.struct(F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
     given = table.select(F.col(text).alias("text"), place.alias("place"))
     kind = given.schema["place"].dataType.simpleString()
-    prints = given.mapInArrow(_bands(shingle), f"place {kind}, copy binary, keys array<bigint>")
+    prints = given.mapInArrow(_bands(shingle), f"place {kind}, n bigint, copy binary, keys array<bigint>")
     # Copies have one set of shingles; the first of them stands for all.
-    nodes = written(prints.groupBy("copy").agg(F.min(F.struct("place", "keys")).alias("first")).select("first.*"), "near-nodes")
+    nodes = written(prints.groupBy("copy").agg(F.min(F.struct("place", "n", "keys")).alias("first")).select("first.*"), "near-nodes")
     kept = nodes.select("place")
     for out in _dropped(nodes, table.select(F.col(row).alias("row"), F.col(text).alias("text")), shingle, percent):
         kept = kept.join(out, "place", "left_anti")
-    return table.join(kept.select(F.col("place.row").alias(row)), row, "left_semi").select(*docs.columns)
+    kept = written(kept.select(F.col("place.row").alias(row)), "near-kept")
+    return table.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
