@@ -1,6 +1,8 @@
 """What the corpus operators share: words, written tables, column names."""
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -59,3 +61,16 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("bigint")
+
+
+def merged_spans(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends

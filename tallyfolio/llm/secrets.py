@@ -2,28 +2,31 @@
 
 Three formats are always reported (assignments to a credential name, access key ids, long hex
 runs). Further values that follow a credential word are reported when they are hard to guess:
-a dynamic programme finds the cheapest way to write the value as words, dates, repeats,
-keyboard walks or sequences, and single characters, in bits; ``MIN_BITS`` decides. A value of
-plain words ("token: available") stays cheap whatever its length per word, a random one does not.
+a dynamic programme finds the cheapest way to write the value as words, dates, repeats of a unit
+of any length, keyboard walks, sequences, places (an address, path or dotted name of plain
+names) and single characters, in bits; ``MIN_BITS`` decides. A value of plain words
+("token: available"), or the address of a page, stays cheap, a random one does not. No piece has a
+greatest length; the programme stops early once no way to go on can be cheap enough.
 
 Defined results: a null text has no spans (and stays null when masked); offsets are code
 points, ends exclusive; an added span that overlaps a fixed-format one is left out; repeated
-rows are treated alike; other columns pass through untouched.
+rows are treated alike; very long texts and values are judged whole, in time that grows with
+their length; an empty table gives an empty table; other columns pass through untouched.
 """
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfolio.llm.common import documents
+from tallyfolio.llm.common import documents, merged_spans
 
 # The formats and their least lengths.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -38,7 +41,7 @@ CONTEXT = re.compile(
     r"""(?:(\x20*(?:=>|:=|[:=])\x20*)|\x20+(?ai:is|was)\x20+|\x20+)(?:(?ai:bearer|basic)\x20+)?"""
     r"""(["'`]?)([^\s"'`<>,;]{6,})""")
 _HINTS = ("passw", "passp", "passc", "pwd", "secret", "token", "credential", "authorization", "bearer", "key")
-MIN_BITS = 40.0
+MIN_BITS = 36.0
 
 # Keys in rows from the top left, and frequent passwords by rank.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -48,6 +51,13 @@ COMMON = ("password", "qwerty", "letmein", "welcome", "admin", "dragon", "monkey
           "placeholder", "redacted", "hidden", "none", "null", "undefined", "required", "optional")
 LEET = {"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"}
 _PIECE = 2.0        # bits to say what kind of piece comes next
+_REPEAT = 2.0       # bits to say that a unit comes again
+# An address, a path or a dotted name whose parts are plain names or small numbers.
+_NAME = r"(?:[a-z]+|[A-Z][a-z]+|[A-Z]+|[0-9]{1,4})(?![A-Za-z0-9])"
+_PLACE = re.compile(rf"(?:(?:[A-Za-z][A-Za-z+.-]*://|\.{{0,2}}/|~/|[A-Za-z]:\\){_NAME}(?:[/.\\:?&=#_-]{_NAME})*/?"
+                    rf"|[A-Za-z]+(?:\.[A-Za-z]+)+(?![A-Za-z0-9]))")
+_SEPARATORS = re.compile(r"[^A-Za-z0-9]+")
+_PLACE_BITS = 12.0
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
                    r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 
@@ -98,13 +108,16 @@ def _word_bits(part: str, plain: str, rank: int) -> float:
     return bits + sum(a != b for a, b in zip(part.lower(), plain))
 
 
-def guess_bits(value: str, words: dict[str, int]) -> float:
-    """Bits of the cheapest segmentation of a whole value; work grows with its length."""
+def guess_bits(value: str, words: dict[str, int], enough: float = math.inf) -> float:
+    """Bits of the cheapest segmentation of a whole value.
+
+    Work ends, with some number from ``enough`` on, where every way to write the rest costs as much.
+    """
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
     plain = "".join(LEET.get(c, c) for c in low)
-    longest = 24
+    longest = longest_word(words)
     near = _neighbours()
     best = [0.0] + [math.inf] * n
 
@@ -112,44 +125,102 @@ def guess_bits(value: str, words: dict[str, int]) -> float:
         if best[i] + bits < best[j]:
             best[j] = best[i] + bits
 
+    place = _PLACE.match(value)
+    if place:
+        reach(0, place.end(), _PIECE + _PLACE_BITS + len(_SEPARATORS.findall(place[0])) / 2)
     # Ends of the runs that start at each place: same step between letters, adjacent keys.
     steps = [ord(b) - ord(a) for a, b in zip(low, low[1:])]
     walks = [(a, b) in near for a, b in zip(low, low[1:])]
-    seq_from = walk_from = 0
+    along = [ROWS_AT.get(c, 0) for c in low]
+    seq_from = walk_from = turns = 0
+    unit = run_from = 0                         # a run of period ``unit`` from ``run_from`` on
+    ends: dict[str, list[int]] = {}             # where each three characters have ended
+    cheap = place.end() if place else 0         # the last place a cheap way is known to reach
     for j in range(1, n + 1):
         c = value[j - 1]
         # Characters of one class in a row pay for the class once.
         open_ = j == 1 or c.isdigit() != value[j - 2].isdigit() or c.isalpha() != value[j - 2].isalpha()
         reach(j - 1, j, _char_bits(c) + (_PIECE / 2 if open_ else 0.0))
         for i in range(max(0, j - longest), j - 2):
+            if best[i] >= enough:
+                continue
             for part in {low[i:j], plain[i:j]}:
                 rank = words.get(part)
                 if rank:
                     reach(i, j, _PIECE + _word_bits(value[i:j], part, rank))
+        if j >= 2 and not walks[j - 2]:
+            walk_from, turns = j - 1, 0
         if j >= 3:
             if steps[j - 2] != steps[j - 3] or abs(steps[j - 2]) > 1:
                 seq_from = j - 2
-            if not walks[j - 2]:
-                walk_from = j - 1
             if j - seq_from >= 3 and abs(steps[j - 2]) <= 1:
                 reach(seq_from, j, _PIECE + math.log2(52) + math.log2(j - seq_from))
             if j - walk_from >= 3:
-                part = [ROWS_AT.get(x, 0) for x in low[walk_from:j]] if j - walk_from <= 64 else []
-                turns = sum((b - a) != (d - b) for a, b, d in zip(part, part[1:], part[2:]))
-                reach(walk_from, j, _PIECE + math.log2(47) + math.log2(j - walk_from)
-                      + math.log2(4.6) * (1 + turns if part else j - walk_from))
+                turns += along[j - 1] - along[j - 2] != along[j - 2] - along[j - 3]
+                reach(walk_from, j, _PIECE + math.log2(47) + math.log2(j - walk_from) + math.log2(4.6) * (1 + turns))
         for width in (4, 6, 8, 10):
             if j >= width and value[j - 1].isdigit() and value[j - width].isdigit() and _DATE.fullmatch(value, j - width, j):
                 reach(j - width, j, _PIECE + (math.log2(120) if width == 4 else math.log2(365 * 120) + 1))
-        # A unit that stands here again: what it cost once, and how often.
-        for unit in range(1, 13):
-            if j >= 2 * unit and value[j - unit:j] == value[j - 2 * unit:j - unit]:
-                bits = best[j - unit] - best[j - 2 * unit]
-                if bits > 2:
-                    reach(j - unit, j, 2.0)
+        # A unit that stands here again, and again: what it cost once, and how often.
+        if unit and value[j - 1] != value[j - 1 - unit]:
+            unit = 0
+        for u in _units(value, j, ends, unit, run_from):
+            times = (j - run_from) // u if u == unit else _times(value, j, u)
+            if times > 1:
+                for m in range(1, times) if times <= 16 else (1, times - 1):
+                    reach(j - m * u, j, _REPEAT + math.log2(m))
+                if not unit:
+                    unit, run_from = u, j - times * u
+        if j >= 3:
+            ends.setdefault(value[j - 3:j], []).append(j)
+        if best[j] < enough:
+            cheap = max(cheap, j)
+        # Words and dates that end later begin in the window, repeats of a cheap unit end before twice its end.
+        elif (j - cheap > max(longest, 10, cheap) and min(best[seq_from], best[walk_from]) >= enough
+              and (not unit or best[run_from + unit] >= enough)):
+            return best[j]
     return best[n]
 
 
+def _times(value: str, j: int, u: int) -> int:
+    """How often the ``u`` characters before ``j`` stand there in a row."""
+    unit, times = value[j - u:j], 1
+    while j >= (times + 1) * u and value.startswith(unit, j - (times + 1) * u):
+        times += 1
+    return times
+
+
+def _units(value: str, j: int, ends: dict[str, list[int]], unit: int, run_from: int) -> Iterator[int]:
+    """Lengths of units that may stand twice before ``j``: where its last three characters have ended before.
+
+    Inside a long run only its own unit is tried, so that long runs take no longer than others.
+    """
+    inside = unit and j - run_from >= max(32, 4 * unit)
+    if unit:
+        yield unit
+    if not inside:
+        yield from (u for u in (1, 2) if u != unit and j >= 2 * u)
+    if j >= 6:
+        places = ends.get(value[j - 3:j], [])
+        for i in range(bisect_right(places, run_from + unit + 2) if inside else len(places), 0, -1):
+            u = j - places[i - 1]
+            if 2 * u > j:
+                break
+            if u >= 3 and u != unit:
+                yield u
+
+
+def longest_word(words: dict[str, int]) -> int:
+    """Length of the longest word, worked out once per dictionary."""
+    known = _LENGTHS.get(id(words))
+    if known is None or known[0] is not words:
+        known = _LENGTHS[id(words)] = words, max(map(len, words), default=0)
+    return known[1]
+
+
+_LENGTHS: dict[int, tuple[dict, int]] = {}
+
+
 # Position of each key along its row, rows far apart: steps in a row are 1, changes of row are not.
 ROWS_AT = {c: 100 * y + x for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 
@@ -172,7 +243,7 @@ def find_spans(text: str | None, words: dict[str, int], min_bits: float = MIN_BI
     for m in HEX.finditer(text):
         found.append(Span("hex", m.start(), m.end(), m.start(), True))
     if hinted:
-        taken = sorted((s.start, s.end) for s in found)
+        starts, ends = merged_spans((s.start, s.end) for s in found)
         m = CONTEXT.search(text)
         while m:
             # What a keyword rejects may hold another keyword: the search goes on behind the first.
@@ -181,15 +252,16 @@ def find_spans(text: str | None, words: dict[str, int], min_bits: float = MIN_BI
             while end > start and text[end - 1] in ".!?)]}":
                 end -= 1
             value = text[start:end]
-            over = [t for t in taken if t[0] < end and m.start() < t[1]]
+            first = bisect_right(ends, m.start())
             inner = None if m[2] else CONTEXT.match(text, start)
-            if over:
-                at = max([at, *(b for a, b in over if a <= at)])
+            if first < len(starts) and starts[first] < end:
+                over = bisect_right(starts, at) - 1
+                at = max(at, ends[over]) if over >= first else at
             elif inner and inner[2]:
                 at = start
             # A bare word of letters is prose in some language, unless it is assigned.
             elif m[2] or not (value.isalpha() and (value.islower() or value[1:].islower())):
-                bits = guess_bits(value, words)
+                bits = guess_bits(value, words, min_bits)
             if bits is not None and bits >= min_bits:
                 found.append(Span("assign", m.start(), end, start, False, bits))
                 at = end

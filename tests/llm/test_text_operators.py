@@ -1,6 +1,9 @@
 """Quality, near duplicates, secrets, personal data, mixing: against brute force, and odd input."""
+import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -271,6 +274,117 @@ def test_assigned_letters_are_judged_by_cost():
     assert len(secrets.find_spans("token=" * 20_000, words)) == 1
 
 
+def cheapest(value, words):
+    """The cost of the best of all segmentations, piece by piece as they are defined."""
+    low, n = value.lower(), len(value)
+    plain = "".join(secrets.LEET.get(c, c) for c in low)
+    near, rows = secrets._neighbours(), secrets.ROWS_AT
+    inf = float("inf")
+
+    def run_start(j, joins):
+        i = j - 1
+        while i > 0 and joins(i - 1, i, j):
+            i -= 1
+        return i
+
+    def piece(i, j):
+        c = [inf]
+        if j == i + 1:
+            fresh = i == 0 or value[i].isdigit() != value[i - 1].isdigit() or value[i].isalpha() != value[i - 1].isalpha()
+            c.append(secrets._char_bits(value[i]) + (secrets._PIECE / 2 if fresh else 0))
+        if j - i >= 3:
+            c += [secrets._PIECE + secrets._word_bits(value[i:j], p, words[p]) for p in {low[i:j], plain[i:j]} if p in words]
+            step = ord(low[j - 1]) - ord(low[j - 2])
+            if abs(step) <= 1 and i == run_start(j, lambda a, b, _: ord(low[b]) - ord(low[a]) == step):
+                c.append(secrets._PIECE + math.log2(52) + math.log2(j - i))
+            if i == run_start(j, lambda a, b, _: (low[a], low[b]) in near):
+                at = [rows[x] for x in low[i:j]]
+                turns = sum(b - a != d - b for a, b, d in zip(at, at[1:], at[2:]))
+                c.append(secrets._PIECE + math.log2(47) + math.log2(j - i) + math.log2(4.6) * (1 + turns))
+        if j - i in (4, 6, 8, 10) and secrets._DATE.fullmatch(value[i:j]):
+            c.append(secrets._PIECE + (math.log2(120) if j - i == 4 else math.log2(365 * 120) + 1))
+        for u in range(1, i + 1):
+            m, rest = divmod(j - i, u)
+            if not rest and value[i - u:i] * m == value[i:j]:
+                c.append(secrets._REPEAT + math.log2(m))
+        place = secrets._PLACE.match(value) if i == 0 else None
+        if place and place.end() == j:
+            c.append(secrets._PIECE + secrets._PLACE_BITS + len(secrets._SEPARATORS.findall(place[0])) / 2)
+        return min(c)
+
+    best = [0.0] + [inf] * n
+    for j in range(1, n + 1):
+        best[j] = min(best[i] + piece(i, j) for i in range(j))
+    return best[n]
+
+
+def test_guess_costs_equal_all_segmentations():
+    rng = random.Random(6)
+    words = {"secret": 3, "horse": 80, "the": 1, "abcab": 7, "passw": 9}
+    pieces = ["secret", "s3cret", "horse", "the", "a", "b", "ab", "abc", "qwe", "asdf", "12", "2024", "2024-05-17", "#", "Z", "x9", ".", "/"]
+    for _ in range(1500):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))
+        want = cheapest(value, words)
+        assert secrets.guess_bits(value, words) == pytest.approx(want), value
+        for enough in (8.0, 20.0, 36.0):
+            assert (secrets.guess_bits(value, words, enough) >= enough) == (want >= enough - 1e-9), value
+
+
+def test_no_piece_has_a_greatest_length():
+    words = {"antidisestablishmentarianisms": 5, "the": 1}
+    unit = "xK2#pQ9!zL4@vB7$mN1%tR6^wH3&"
+    once = secrets.guess_bits(unit, words)
+    assert secrets.guess_bits(unit * 3, words) < once + 5
+    assert secrets.guess_bits("antidisestablishmentarianisms", words) < 10
+    assert secrets.guess_bits("asdfghjkl;'" + "lkjhgfdsasdfghjkl" * 6, words) < 150
+
+
+def test_addresses_of_pages_are_no_secrets():
+    words = secrets.ranked_words(secrets.words_path())
+    rng = random.Random(9)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 12)))
+    for _ in range(200):
+        for value in (f"https://example.com/{word()}/{word()}/index.html", f"/{word()}/{word()}/{word()}.txt", f"{word()}.{word()}.{word()}"):
+            assert not [s for s in secrets.find_spans(f"see token {value} for more", words) if not s.base], value
+    assert [s for s in secrets.find_spans("token https://example.com/T0x9/Kd82hsQp1ZmXw77a", words) if not s.base]
+
+
+def test_short_random_values_are_found():
+    words = secrets.ranked_words(secrets.words_path())
+    rng = random.Random(10)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    found = sum(bool(secrets.find_spans("pwd: " + "".join(rng.choice(letters) for _ in range(8)), words)) for _ in range(300))
+    assert found >= 0.9 * 300
+
+
+def test_many_and_long_values_take_time_in_proportion():
+    words = secrets.ranked_words(secrets.words_path())
+    rng = random.Random(11)
+    lines = [f"password = {rng.randrange(10 ** 15):015d}x and token is h7#Kq!9zP@{i}" for i in range(20_000)]
+    start = time.perf_counter()
+    spans = secrets.find_spans("\n".join(lines), words)
+    assert len(spans) == 40_000
+    for value in ("x8Kq2!mZ" * 100_000, "ab" * 300_000, "!" * 500_000, "".join(rng.choice("aB3$x") for _ in range(500_000))):
+        secrets.find_spans("secret: " + value, words)
+    assert time.perf_counter() - start < 60
+
+
+def test_registered_secrets_keep_the_base(spark):
+    """The contract's columns of the whole small table, against patterns run plainly."""
+    got = {r.doc_id: r for r in secrets.op4_secrets(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        base = base_secrets(d.text or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        r = got[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in secrets.KINDS)
+        assert set(told.split(",")) - {""} <= set(r.spans.split(","))
+
+
 # ------------------------------------------------------------------ personal data
 
 FORMATS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -297,6 +411,20 @@ def test_long_runs_stay_linear():
     for run in ("a" * 200_000, "1" * 200_000, "a@" * 50_000, "+1" + " " * 100_000):
         pii.base_spans(run)
         pii.candidates(run[:5000])
+    start = time.perf_counter()
+    for run in ("a" * 1_000_000, "1" * 1_000_000, "a@" * 300_000, "+1" + " " * 500_000, "1.2-3 " * 200_000, "a at b dot " * 100_000, ":a" * 300_000):
+        pii.base_spans(run)
+        pii.candidates(run)
+    assert time.perf_counter() - start < 60
+
+
+def test_many_spans_take_time_in_proportion(learnt):
+    text = "\n".join(f"write to user{i} [at] mail{i % 9} [dot] org or u{i}@b.example.com" for i in range(20_000))
+    start = time.perf_counter()
+    found = pii.find_spans([text], learnt)[0]
+    assert sum(s.base for s in found) == 20_000 and sum(not s.base for s in found) >= 18_000
+    pii.examples(text)
+    assert time.perf_counter() - start < 60
 
 
 def test_trees_learn_an_exclusive_or():
@@ -310,6 +438,40 @@ def test_trees_learn_an_exclusive_or():
     assert pii.threshold(np.array([0.9]), np.array([0])) == 2.0
 
 
+@pytest.fixture(scope="module")
+def learnt(spark):
+    """A model learnt from the given documents."""
+    return pii.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_unseen_dresses_are_found(learnt):
+    rng = random.Random(12)
+    names, hosts = ["ann", "bob.ray", "c_lee", "dora9"], ["mail", "post-box", "inbox"]
+
+    def share(dress):
+        texts = [dress(f"{rng.choice(names)}{i}", f"{rng.choice(hosts)}{i % 7}") for i in range(100)]
+        return np.mean([any(s.kind == "email" and not s.base for s in f) for f in pii.find_spans(texts, learnt)])
+    assert share(lambda a, h: f"you can reach {a} [at] {h} [dot] org any time") >= 0.9
+    assert share(lambda a, h: f"write to {a} at {h} dot com please") >= 0.9
+    assert share(lambda a, h: f"write to {a}é@{h}.org please") >= 0.9
+    prose = ["we met at noon dot matrix printers were loud", "look at this dot and that", "the team at work dot dot dot", "stay at home dot"]
+    assert not any(not s.base for f in pii.find_spans(prose, learnt) for s in f)
+
+
+def test_registered_spans_keep_the_base(spark):
+    """The contract's columns of the whole small table, against patterns run plainly."""
+    got = {r.doc_id: r for r in pii.op2_pii(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        base = base_pii(d.text or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        r = got[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS)
+        assert set(told.split(",")) - {""} <= set(r.spans.split(","))
+
+
 def test_candidates_are_learnt_from_the_corpus(spark, odd):
     rng = random.Random(8)
 
