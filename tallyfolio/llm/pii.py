@@ -11,32 +11,37 @@ The trees learn from the corpus itself. Values that pass a format's own test (ch
 number of digits) are positive examples, also rewritten in other dresses; proposed values that
 fail, and values with altered digits, are negative. Proposed values that no test can tell are no
 examples. Addresses of version 6 and their near misses (times, hardware addresses) are made up.
-The sample is bounded by ``TRAIN_DOCS``
-documents (those with digits or an @, with the smallest hashes); all else covers everything.
+The trees' sample is drawn per kind: ``TRAIN_DOCS`` documents that hold something of the kind, with
+the smallest hashes, and ``TRAIN_EXAMPLES`` of their examples. Thresholds are not sampled: the
+examples of all other documents are scored and counted in a histogram per kind.
 
 Defined results: a null text has no spans and stays null when redacted; offsets are code points,
-ends exclusive; without examples of both classes nothing is added; repeated rows are alike.
+ends exclusive; without examples of both classes nothing is added; repeated rows are alike; very long
+texts are searched whole, in time that grows with their length; an empty table gives an empty table.
 """
 from __future__ import annotations
 
-import hashlib
 import ipaddress
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfolio.llm.common import documents
+from tallyfolio.llm.common import documents, merged_spans, written
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 3000
-MAX_CANDIDATES = 20_000
+TRAIN_DOCS = 1000
+TRAIN_EXAMPLES = 4000
 PRECISION = 0.99
+# Steps of a probability in the histograms that thresholds are read from.
+STEPS = 1000
 SLIP = 0.02
 
 # The four formats. Local parts of addresses are found leftwards from the @.
@@ -64,6 +69,12 @@ _CONTEXT = {
     "phone": re.compile(r"(?i)phone|tel\b|tel[.:]|call|fax|mobile|cell|\bsms\b|dial"),
 }
 _NEAR = 32
+# Endings of addresses that prose words rarely are.
+ENDINGS = frozenset("com org net edu gov mil int info biz io dev app ai co us uk de fr es it nl be ch at pl se no dk fi pt ru ua cz gr "
+                    "ie eu ca mx br ar cl au nz jp cn kr in za tr il".split())
+# Documents that hold something of a kind, for the sample.
+SIGNS = {"email": r"@|\b(?i:at)\b", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]|:[0-9A-Fa-f]{0,4}:", "card": r"(?:[0-9][ ./_-]{0,2}){15}",
+         "phone": r"\+[0-9]|[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3}"}
 
 
 class Span(NamedTuple):
@@ -144,11 +155,13 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         *[float(kind == k) for k in KINDS],
         float(len(value)), float(len(digits)), float(len(runs)), float(max(runs)), float(min(runs)),
         float(sum(c.isalpha() for c in value)), float(len(set(digits))),
-        float(luhn(digits)) if digits else 0.0,
-        float(len(octets) == 4 and all(len(o) <= 3 and int(o) <= 255 for o in octets)),
-        float(value.count(":")), float(len(groups) in (8,) or "::" in value),
+        # A format's own test says nothing of other kinds, where it passes by chance.
+        float(kind in ("card", "phone") and bool(digits) and luhn(digits)),
+        float(kind == "ip" and len(octets) == 4 and all(len(o) <= 3 and int(o) <= 255 for o in octets)),
+        float(value.count(":")), float(kind == "ip" and (len(groups) == 8 or "::" in value)),
         float("@" in value), float(bool(re.search(r"(?i)[\[({<]\s?(?:at|dot)", value))),
-        float(bool(re.search(r"(?i)\sat\s", value))), float(len(tail)), float(len(words)),
+        float(bool(re.search(r"(?i)\sat\s", value))), float(len(tail)), float(len(words)), float(tail in ENDINGS),
+        float(bool(re.search(r"(?i)[\[({<]\s?at", value))), float(bool(re.search(r"(?i)\sdot\s", value))), float(value.isascii()),
         float(value.startswith("(") or ")" in value), float(value.startswith("00")),
         float(len(set(re.sub(r"[0-9A-Za-z]", "", value)))), float("/" in value), float("." in value),
         float(left.isalnum()), float(right.isalnum()), float(left in ("#", "$", "-", "/")), float(right in ("%", "-", "/")),
@@ -240,27 +253,41 @@ def calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[floa
 
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """``counted_threshold`` of single examples."""
+    step = step_of(np.asarray(p, np.float64))
+    return counted_threshold(*(np.bincount(step[np.asarray(y) == k], minlength=STEPS) for k in (1, 0)), precision)
+
+
+def counted_threshold(right: np.ndarray, wrong: np.ndarray, precision: float = PRECISION) -> float:
     """Lowest probability from which on the precision holds; 2 (never) if there is none.
 
-    It lies up to ``SLIP`` below the last good candidate, but never beyond half way to the next.
+    ``right`` and ``wrong`` count examples per step of probability. It lies up to ``SLIP`` below the last
+    good step, but never beyond half way to the next one with examples, nor below one half.
     """
-    order = np.argsort(-p, kind="stable")
-    p, y = p[order], y[order]
-    right = np.cumsum(y) / np.arange(1, len(y) + 1)
-    last = np.r_[p[1:] != p[:-1], True]
-    good = np.flatnonzero(last & (right >= precision))
-    if not len(good):
+    above, all_ = np.cumsum(right[::-1])[::-1], np.cumsum((right + wrong)[::-1])[::-1]
+    used = np.flatnonzero(right + wrong)
+    good = [i for i in used if above[i] >= precision * all_[i]]
+    if not good:
         return 2.0
-    below = p[good[-1] + 1] if good[-1] + 1 < len(p) else 0.0
-    return max(0.5, float(p[good[-1]] + below) / 2, float(p[good[-1]]) - SLIP)
+    below = used[used < good[0]]
+    half_way = (good[0] + (below[-1] + 1 if len(below) else 0)) / 2
+    return max(0.5, half_way / len(right), good[0] / len(right) - SLIP)
+
+
+def step_of(p: np.ndarray) -> np.ndarray:
+    return np.minimum((p * STEPS).astype(np.int64), STEPS - 1)
 
 
 def _dressed(kind: str, value: str, chance: random.Random) -> str | None:
     """A valid value of a kind written in another way."""
     digits = _NOT_DIGIT.sub("", value)
     if kind == "email":
-        a, d = chance.choice(((" [at] ", " [dot] "), ("[at]", "."), (" (at) ", " (dot) "), (" at ", " dot ")))
-        return value.replace("@", a).replace(".", d) if "[at]" != a else value.replace("@", a)
+        a, d = chance.choice(((" [at] ", " [dot] "), ("[at]", "."), (" (at) ", " (dot) "), (" at ", " dot "), ("@", ".")))
+        local, _, host = value.partition("@")
+        if a == "@":
+            # A letter the fixed format does not know, right before the sign.
+            return f"{local[:-1]}{chance.choice('áéíóúäöüßñçø')}@{host}"
+        return local.replace(".", d if chance.random() < 0.5 else ".") + a + host.replace(".", d)
     if kind == "ip":
         return value.replace(".", chance.choice(("[.]", "(.)")))
     if kind == "card":
@@ -278,7 +305,7 @@ def _altered(value: str, chance: random.Random) -> str:
 
 
 _BRACKET = re.compile(r"(?i)\s?[\[({<]\s?(at|dot)\s?[\])}>]\s?")
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_ADDRESS = re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
 
 def is_v6(value: str) -> bool:
@@ -323,6 +350,7 @@ def examples(text: str) -> list[tuple[str, list[float], int]]:
     out = []
     spans = base_spans(text)
     chance = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    plain = re.findall(r"[^\W\d_]{2,}", text)
 
     def propose(kind: str, head: str, value: str, tail: str, label: int) -> None:
         changed = head + value + tail
@@ -344,56 +372,94 @@ def examples(text: str) -> list[tuple[str, list[float], int]]:
                 if s.kind == "card":
                     wrong = _altered(dressed, chance)
                     propose(s.kind, head + cue, wrong, tail, int(luhn(_NOT_DIGIT.sub("", wrong))))
+                elif s.kind == "email" and " at " in dressed:
+                    # Without brackets only the ending tells an address from a sentence.
+                    wrong = re.sub(r"\w+$", chance.choice(plain or ["market"]), dressed)
+                    propose(s.kind, head + cue, wrong, tail, int(wrong.split()[-1].lower() in ENDINGS))
                 elif s.kind == "ip":
                     wrong = "[.]".join(str(chance.randrange(0, 999)) for _ in range(4))
                     propose(s.kind, head, wrong, tail, int(all(int(p) < 256 for p in wrong.split("[.]"))))
                     for six in _sixes(chance):
                         propose(s.kind, head + cue, six, tail, int(is_v6(six)))
-    # Plain words around "at" and "dot" are no address.
-    plain = re.findall(r"[^\W\d_]{2,}", text)
+    # Plain words around "at" and "dot" are no address, unless they end as one.
     if len(plain) > 6 and chance.random() < 0.5:
         a, b, c, d, e = chance.sample(plain, 5)
-        propose("email", a + " ", f"{b} at {c} dot {d}", " " + e, 0)
+        propose("email", a + " ", f"{b} at {c} dot {d}", " " + e, int(d.lower() in ENDINGS))
+    taken = merged_spans((s.start, s.end) for s in spans)
     for kind, a, b in candidates(text):
         label = own_label(kind, text[a:b], text[max(0, a - _NEAR):a])
-        if label is not None and not any(s.start < b and a < s.end for s in spans):
+        if label is not None and not overlaps(taken, a, b):
             out.append((kind, features(text, kind, a, b), label))
     return out
 
 
-def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
-    """Trees, calibration and thresholds from a bounded sample of ``docs``."""
-    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    chosen = (keyed.filter(F.col("text").rlike("[0-9@]") & F.col("id").isNotNull()).select("id")
-              .orderBy(F.xxhash64("id"), "id").limit(train_docs).distinct())
+def overlaps(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether a span meets one of the disjoint stretches."""
+    starts, ends = taken
+    i = bisect_right(ends, start)
+    return i < len(starts) and starts[i] < end
+
+
+_EXAMPLES = "id_hash bigint, kind string, x array<double>, y int"
 
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, k, x, y) for i, t in zip(batch.column("id_hash").to_pylist(), batch.column("text").to_pylist())
+                for k, x, y in examples(t or "")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
+             pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.int32())],
+            ["id_hash", "kind", "x", "y"])
+
+
+def _counted(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, x, y) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for k, x, y in examples(t or "")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.crc32(str(r[0]).encode()) % 4 for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.int32())],
-                ["fold", "kind", "x", "y"])
+            found = [e for t in batch.column("text").to_pylist() for e in examples(t or "")]
+            if found:
+                step = step_of(model.probabilities(np.array([x for _, x, _ in found])))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found]), pa.array(step, pa.int64()),
+                                                  pa.array([y for _, _, y in found], pa.int32())], ["kind", "step", "y"])
+    return run
 
-    sample = (keyed.join(F.broadcast(chosen), "id").select("id", "text")
-              .mapInArrow(run, "fold int, kind string, x array<double>, y int")
-              .orderBy(F.xxhash64("x", "y"), "x", "y").limit(MAX_CANDIDATES).toArrow())
+
+def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_docs: int = TRAIN_DOCS,
+          train_examples: int = TRAIN_EXAMPLES) -> Model:
+    """Trees and calibration from a bounded sample per kind, thresholds from all other documents.
+
+    Documents are told apart by the hash of their id: one with the hash of a sampled one is in
+    neither. Where the sample is the whole table, its own held-out quarter sets the thresholds.
+    """
+    never = {k: 2.0 for k in KINDS}
+    keyed = docs.select(F.xxhash64(doc_id).alias("id_hash"), F.col(doc_id).isNotNull().alias("named"), F.col(text).alias("text"))
+    signs = written(keyed.filter("named").select("id_hash", *[F.col("text").rlike(p).alias(k) for k, p in SIGNS.items()])
+                    .filter(" OR ".join(KINDS)), "pii-signs")
+    parts = [signs.filter(k).select("id_hash").distinct().orderBy("id_hash").limit(train_docs) for k in KINDS]
+    chosen = written(reduce(DataFrame.union, parts).distinct(), "pii-sample")
+    found = written(keyed.filter("named").join(F.broadcast(chosen), "id_hash").select("id_hash", "text")
+                    .mapInArrow(_labelled, _EXAMPLES), "pii-examples")
+    kinds = [found.filter(F.col("kind") == k).orderBy(F.xxhash64("x", "y", "id_hash"), "id_hash", "x", "y").limit(train_examples).toArrow()
+             for k in KINDS]
+    sample = pa.concat_tables(kinds)
     y = np.array(sample["y"].to_pylist(), np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model(None, 1.0, 0.0, {k: 2.0 for k in KINDS})
-    x, fold = np.array(sample["x"].to_pylist()), np.array(sample["fold"].to_pylist())
-    kind = np.array(sample["kind"].to_pylist())
-    held = fold == 0
-    if not held.any() or y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
-        return Model(None, 1.0, 0.0, {k: 2.0 for k in KINDS})
+    # Folds by document; the hash is mixed, as the sample has the smallest ones.
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in sample["id_hash"].to_pylist()], bool)
+    if not held.any() or held.all() or y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
+        return Model(None, 1.0, 0.0, never)
+    x, kind = np.array(sample["x"].to_pylist()), np.array(sample["kind"].to_pylist())
     trees = boost(x[~held], y[~held])
     slope, shift = calibrate(trees.margins(x[held]), y[held])
     model = Model(trees, slope, shift, {})
-    p = model.probabilities(x[held])
-    for k in KINDS:
-        own = kind[held] == k
-        model.thresholds[k] = threshold(p[own], y[held][own]) if own.any() else 2.0
+    counts = {k: np.zeros((2, STEPS), np.int64) for k in KINDS}
+    for k, step, label in zip(kind[held], step_of(model.probabilities(x[held])), y[held]):
+        counts[k][int(label), step] += 1
+    # Only documents with a sign of a kind can give examples of note; the others are not read again.
+    rest = (keyed.join(signs.select("id_hash").distinct(), "id_hash", "left_semi").join(F.broadcast(chosen), "id_hash", "left_anti")
+            .select("text").mapInArrow(_counted(model), "kind string, step bigint, y int"))
+    for row in rest.groupBy("kind", "step", "y").agg(F.count("*").alias("n")).collect():
+        counts[row["kind"]][row["y"], row["step"]] += row["n"]
+    model.thresholds.update({k: counted_threshold(counts[k][1], counts[k][0]) for k in KINDS})
     return model
 
 
@@ -406,16 +472,23 @@ def find_spans(texts: list[str], model: Model) -> list[list[Span]]:
         return base
     open_: list[tuple[int, str, int, int]] = []
     for i, t in enumerate(texts):
-        open_ += [(i, *c) for c in candidates(t)
-                  if not any(s.start < c[2] and c[1] < s.end for s in base[i])]
+        taken = merged_spans((s.start, s.end) for s in base[i])
+        open_ += [(i, *c) for c in candidates(t) if not overlaps(taken, c[1], c[2])]
     if not open_:
         return base
     p = model.probabilities(np.array([features(texts[i], k, a, b) for i, k, a, b in open_]))
+    # From the surest on: what is added is disjoint, so a span's neighbours by start decide.
     added: dict[int, list[Span]] = {}
+    held: dict[int, tuple[list[int], list[int]]] = {}
     for j in np.argsort(-p, kind="stable").tolist():
         i, k, a, b = open_[j]
-        if p[j] >= model.thresholds[k] and not any(s.start < b and a < s.end for s in added.get(i, ())):
-            added.setdefault(i, []).append(Span(k, a, b, False, float(p[j])))
+        if p[j] >= model.thresholds[k]:
+            starts, ends = held.setdefault(i, ([], []))
+            if not overlaps((starts, ends), a, b):
+                at = bisect_right(starts, a)
+                starts.insert(at, a)
+                ends.insert(at, b)
+                added.setdefault(i, []).append(Span(k, a, b, False, float(p[j])))
     return [sorted(spans + added.get(i, []), key=lambda s: (KINDS.index(s.kind), s.start)) for i, spans in enumerate(base)]
 
 
