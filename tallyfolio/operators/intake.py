@@ -5,7 +5,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyfolio.operators.staging import spread_join
+from tallyfolio.operators.staging import summary_join
 
 # ------------------------------------------------------------------ redaction
 
@@ -31,11 +31,11 @@ def resubmissions(documents: DataFrame, content: Column, key: str = "doc_id") ->
     """Per document the first one with the same content; only that one has to be read.
 
     Only the content's digest is shuffled. Copies are counted before they meet, and the rows of
-    a content with very many copies are dealt to several tasks.
+    a content with very many copies can be split between tasks.
     """
     digests = documents.select(key, F.sha2(content, 256).alias("digest"))
     first = digests.groupBy("digest").agg(F.min(key).alias("first_id"), F.count("*").alias("n_copies"))
-    return (spread_join(digests, first, "digest")
+    return (summary_join(digests, first, "digest")
             .select(key, "first_id", "n_copies", (F.col(key) != F.col("first_id")).alias("resubmitted")))
 
 

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyfolio.operators.staging import spread_join, written
+from tallyfolio.operators.staging import summary_join, written
 from tallyfolio.schemas import PENDING, RUNNING, TERMINAL
 
 ORDER = ("ts", "seq")
@@ -65,12 +65,12 @@ def overlay_jobs(live: DataFrame, durable: DataFrame, key: str = "job_id") -> Da
 
 def overlay_events(live: DataFrame, durable: DataFrame, key: str = "job_id") -> DataFrame:
     """A job's live events if it has any, else its durable ones."""
-    return live.unionByName(spread_join(durable, live.select(key).distinct(), key, "left_anti"))
+    return live.unionByName(summary_join(durable, live.select(key).distinct(), key, "left_anti"))
 
 
 def with_known_jobs(events: DataFrame, jobs: DataFrame, key: str = "job_id") -> DataFrame:
     """Events of jobs that exist; others are dropped."""
-    return spread_join(events, jobs.select(key).distinct(), key, "left_semi")
+    return summary_join(events, jobs.select(key).distinct(), key, "left_semi")
 
 
 def oldest_first(events: DataFrame, key: str = "job_id") -> DataFrame:

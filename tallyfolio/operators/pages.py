@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyfolio.functions.text import data_uri, is_usable_text
-from tallyfolio.operators.staging import spread_join
+from tallyfolio.operators.staging import summary_join
 
 # Ink below which a page is no content (splitting), and at or below which its
 # image is not worth reading (vision route).
@@ -134,7 +134,7 @@ def keep_content_rows(pages: DataFrame, key: str, min_ink: float = SPLIT_MIN_INK
     summary = pages.groupBy(key).agg(
         F.count_if(is_content).alias("n_content"),
         F.max(F.struct(F.col("ink"), (-F.col("page_index")).alias("back"))).alias("top"))
-    joined = spread_join(pages, summary, key)
+    joined = summary_join(pages, summary, key)
     keep = is_content | ((F.col("n_content") == 0) & (F.col("page_index") == -F.col("top.back")))
     return (joined.filter(keep)
             .withColumn("n_invoices", F.greatest(F.col("n_content"), F.lit(1).cast("bigint")))

@@ -1,26 +1,32 @@
-"""The upper rungs of classification: a text model with labels, and votes of near vectors."""
+"""The upper rungs of classification: a text model with labels, and votes of near vectors (see ``vectors``)."""
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from tallyfolio.operators import vectors as V
 
 MAX_FIT = 20_000
 
 
 def fit_text_classifier(labelled: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14,
-                        max_fit: int = MAX_FIT, key: str = "doc_id") -> PipelineModel:
-    """TF-IDF and logistic regression on at most ``max_fit`` labelled rows (smallest key hashes)."""
+                        max_fit: int = MAX_FIT, key: str = "doc_id", documents: DataFrame | None = None) -> PipelineModel:
+    """TF-IDF and logistic regression.
+
+    Document frequencies cover all ``documents`` (all labelled rows, if not given); the regression is
+    fitted on at most ``max_fit`` labelled rows (smallest key hashes).
+    """
+    body = F.coalesce(F.col(text), F.lit("")).alias("_text")
+    weights = Pipeline(stages=[RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
+                               HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+                               IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=2)]).fit((documents or labelled).select(body))
     chosen = labelled.select(key).orderBy(F.xxhash64(key), key).limit(max_fit).distinct()
-    rows = (labelled.join(chosen, key, "left_semi")
-            .select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(label).cast("double").alias("_label")))
-    stages = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-              HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-              IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=2),
-              LogisticRegression(featuresCol="_tfidf", labelCol="_label", maxIter=20, regParam=0.01)]
-    return Pipeline(stages=stages).fit(rows)
+    rows = labelled.join(chosen, key, "left_semi").select(body, F.col(label).cast("double").alias("_label"))
+    judge = LogisticRegression(featuresCol="_tfidf", labelCol="_label", maxIter=20, regParam=0.01).fit(weights.transform(rows))
+    return PipelineModel(stages=[*weights.stages, judge])
 
 
 def score_texts(model: PipelineModel, documents: DataFrame, text: str = "text") -> DataFrame:
@@ -30,23 +36,16 @@ def score_texts(model: PipelineModel, documents: DataFrame, text: str = "text")
                       F.col("prediction").cast("int").alias("predicted"))
 
 
-def nearest_to(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 5, vec_id: str = "vec_id",
+def nearest_to(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int = 5, vec_id: str = "vec_id",
                embedding: str = "embedding") -> DataFrame:
-    """For each given query vector the ``k`` rows of highest cosine, ties to the smaller id.
+    """For each query the ``k`` rows of ``vectors`` of highest cosine, with ``query_id``, ``rank`` and ``similarity``.
 
-    The query vectors are a parameter and travel with the plan. One scan; every task keeps its
-    best k per query before anything is shuffled.
+    Queries are a table (query_id, embedding) of any size, or a few rows given as they are.
     """
-    given = F.array(*[F.struct(F.lit(i).alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("q")) for i, v in queries])
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-    rows = vectors.withColumn("_q", F.explode(given))
-    e, q = F.col(embedding), F.col("_q.q")
-    rows = rows.withColumn("similarity", dot(e, q) / F.sqrt(dot(e, e) * dot(q, q))).withColumn("query_id", F.col("_q.query_id"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), vec_id))
-    return rows.drop("_q").withColumn("rank", place).filter(F.col("rank") <= k)
+    if not isinstance(queries, DataFrame):
+        queries = vectors.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in queries],
+                                                       f"query_id bigint, {embedding} array<double>")
+    return V.nearest_to(vectors, queries, k, vec_id, embedding, keep=[c for c in vectors.columns if c != vec_id])
 
 
 def vote(neighbours: DataFrame, label: str = "label") -> DataFrame:

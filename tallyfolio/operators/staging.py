@@ -1,4 +1,4 @@
-"""Evaluate once what is expensive, keep tables, and join without hot keys."""
+"""Evaluate once what is expensive, keep tables, and join so that hot keys can be split."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,13 +24,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_join(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner", spread: int = 16) -> DataFrame:
-    """Join ``rows`` with a ``summary`` of one row per key so that no key is one task's work.
+def summary_join(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with a ``summary`` of one row per key.
 
-    The rows of a key are dealt to ``spread`` parts by their content, and the summary is repeated
-    for each part. An aggregate stands between the summary and its shuffle, so that adaptive
-    execution would not split a hot key by itself.
+    An aggregate between the summary and its shuffle would keep adaptive execution from splitting a
+    hot key. The summary is therefore a table of its own: both sides come straight from a shuffle,
+    and only what is hot is split, at any number of rows.
     """
-    parts = F.array(*[F.lit(i) for i in range(spread)])
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int"))
-    return dealt.join(summary.withColumn("_part", F.explode(parts)), [key, "_part"], how).drop("_part")
+    return rows.join(written(summary, "summary"), key, how)

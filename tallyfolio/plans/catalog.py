@@ -29,7 +29,7 @@ def _with_tables(sql: str, ctes: dict[str, str]) -> str:
     if not needed:
         return sql
     # These are wide and read several times: worked out once.
-    once = ("responses", "deciding", "conformed")
+    once = ("responses", "attempts", "deciding", "faulted", "conformed")
     head = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in once else ''}({ctes[name]})" for name in ctes if name in needed)
     return f"WITH {head}\n{sql}"
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyfolio.functions.money import score_round
-from tallyfolio.operators import benchmark as B, cascade as C, reports as R
+from tallyfolio.operators import benchmark as B, cascade as C, monitoring as M, reports as R
 from tallyfolio.operators.pages import by_confidence
+from tallyfolio.operators.staging import written
 from tallyfolio.plans import tables as T
 from tallyfolio.plans.records import scored, settled, text
 from tallyfolio.sources import gold as G
@@ -93,8 +94,10 @@ def report_ranking(spark, sf_dir):
 
 
 def report_detail(spark, sf_dir):
-    t = trials(spark, sf_dir)
-    detail = B.last_trial_detail(runnable_runs(spark, sf_dir), t)
+    # Scored once: the summaries and the detail read the same table.
+    scored_runs = written(runnable_runs(spark, sf_dir), "runs")
+    t = B.summarize_trials(scored_runs, configs(spark))
+    detail = B.last_trial_detail(scored_runs, t)
     ranked = B.rank_configs(B.average_trials(t))
     return detail_text(detail, ranked).select(F.col("rank").cast("bigint").alias("rank"), "doc", "line")
 
@@ -147,6 +150,23 @@ def threshold_tuning(spark, sf_dir):
         F.col("threshold").cast("bigint").alias("threshold"), "n_docs", "acc", "vlm_calls")
 
 
+def calibrated_confidence(spark, sf_dir):
+    """What a confidence is worth: the text reader's score as a rising function of it."""
+    docs = variants(spark, sf_dir).select("mean_conf", path_score("ocr").alias("ocr_score"))
+    fit = M.calibrated(M.calibration_points(docs, "mean_conf", "ocr_score"), "conf", "n", "points")
+    return fit.select("conf", "n", score_round(F.col("fitted"), 6).alias("fitted"))
+
+
+BARS = {"overall": 0.86, "line_item_f1": 0.85}
+
+
+def sure_release_gate(spark, sf_dir):
+    """The release gate on the lower ends of bootstrap intervals."""
+    replicates = M.replicated(runnable_runs(spark, sf_dir), "config", "doc", {
+        "overall": F.coalesce("overall", F.lit(0.0)), "line_item_f1": F.coalesce("f1", F.lit(0.0))})
+    return M.sure_gate(replicates, "config", BARS)
+
+
 # ------------------------------------------------------------------ gold set
 
 def gold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,14 +221,32 @@ def cost_projection(spark, sf_dir):
 
 
 def flag_drift(spark, sf_dir):
-    b = T.bills(spark, sf_dir).select("job_id", "vendor", "shipped")
-    j = settled(spark, sf_dir).select("job_id", "status", "warnings")
-    d = R.drift(j.join(b, "job_id"), "shipped", "vendor", "7 days")
+    d = _weekly_flags(spark, sf_dir)
     return d.withColumn("period", F.date_format("period", "yyyy-MM-dd")).select(
         "period", "vendor", "n_jobs", "n_flagged", "n_failed", "flag_rate")
 
 
+def _weekly_flags(spark, sf_dir):
+    b = T.bills(spark, sf_dir).select("job_id", "vendor", "shipped")
+    j = settled(spark, sf_dir).select("job_id", "status", "warnings")
+    return R.drift(j.join(b, "job_id"), "shipped", "vendor", "7 days")
+
+
+def drift_alarms(spark, sf_dir):
+    """Weeks in which a vendor's flags have piled up beyond what other vendors show."""
+    a = M.alarms(written(_weekly_flags(spark, sf_dir), "weekly"), "vendor", "period", "n_jobs", "n_flagged", 0.02, 3.0)
+    return a.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "vendor", "n_jobs", "n_flagged", F.round("score", 4).alias("score"), "alarm")
+
+
+def amount_stability(spark, sf_dir):
+    """How far each vendor's amounts of the last years are from those before."""
+    b = T.bills(spark, sf_dir)
+    digits = F.length(F.col("total_c").cast("string"))
+    return M.stability(b, "vendor", F.concat_ws("/", digits, F.substring(F.col("total_c").cast("string"), 1, 1)),
+                       F.col("shipped") >= F.lit("1996-01-01").cast("timestamp"))
+
+
 QUERIES = {f.__name__: f for f in (
     skipped_runs, trial_summaries, benchmark_ranking, best_config, wanted_configs, report_ranking, report_detail,
     release_gate, variant_documents, strategy_comparison, threshold_tuning, gold_documents, gold_page_gaps,
-    gold_growth, client_spend, quality_metrics, cost_projection, flag_drift)}
+    gold_growth, client_spend, quality_metrics, cost_projection, flag_drift, drift_alarms, amount_stability, calibrated_confidence, sure_release_gate)}

@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyfolio.operators import jobs as J
+from tallyfolio.operators import history as H, jobs as J
 from tallyfolio.plans import tables as T
 from tallyfolio.plans.records import flat_jobs, settled, text
 from tallyfolio.schemas import INVOICE
 from tallyfolio.session import scratch_path
 from tallyfolio.sources import jobstore as S
-from tallyfolio.streaming import jobs as X
+from tallyfolio.streaming import jobs as X, sweeper as W
 
 LOGGED = ["status", "was_scan", "source_path", "tier_used", "error"]
 STATUS = {"signup": "PENDING", "view": "RUNNING", "purchase": "SUCCEEDED", "error": "FAILED"}
@@ -108,6 +108,25 @@ def stale_jobs(spark, sf_dir):
     return late.select("job_id", shown("updated_at").alias("updated_at"), "idle_minutes")
 
 
+def claim_history(spark, sf_dir):
+    """When each status of a job held."""
+    h = H.validity(changes(job_log(spark, sf_dir)), "status")
+    return h.select("job_id", text("value").alias("status"), shown("valid_from").alias("valid_from"),
+                    F.coalesce(shown("valid_to"), F.lit("")).alias("valid_to"))
+
+
+def claim_states_asked(spark, sf_dir):
+    """Every fifth event asks what its job, and the user's job of the day before, were 90 minutes later."""
+    log = job_log(spark, sf_dir)
+    moment_ = F.col("ts") + F.expr("INTERVAL 90 MINUTES")
+    before = F.concat_ws("-", "user_id", F.date_format(F.col("ts") - F.expr("INTERVAL 1 DAY"), "yyyyMMdd"))
+    asked = log.filter(F.col("seq") % 5 == 0).select(F.explode(F.array("job_id", before)).alias("job_id"), "seq", moment_.alias("moment"))
+    s = H.as_of(changes(log), asked, LOGGED)
+    return s.select("job_id", "seq", shown("moment").alias("moment"), text("status").alias("status"),
+                    F.coalesce(F.col("was_scan").cast("string"), F.lit("")).alias("was_scan"), text("source_path").alias("source_path"),
+                    text("tier_used").alias("tier_used"), text("error").alias("error"))
+
+
 # ------------------------------------------------------------------ live over durable
 
 def live_durable(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,10 +284,24 @@ def stream_unique_events(spark, sf_dir):
 def stream_live_status(spark, sf_dir):
     log = job_of(_stream(spark, sf_dir, "events")).filter(F.col("event_type") != "click")
     rows = log.select("job_id", status_of(F.col("event_type")).alias("status"), "ts", "seq")
-    out = X.current_status(_run(rows, "status", X.keep_live))
+    base = scratch_path(spark, "status")
+    X.write_batches(rows, X.merge_live(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
+    out = X.current_status(X.live_table(spark, f"{base}/out").read())
     return out.select("job_id", "status", shown("ts").alias("ts"), "seq", "n_events")
 
 
+PATIENCE_MINUTES, DELAY = 6 * 60, "1 hour"
+
+
+def stream_requeued_jobs(spark, sf_dir):
+    """RUNNING events that nothing followed in time, found by timers while the stream runs."""
+    W.use_rocksdb(spark)
+    log = job_of(_stream(spark, sf_dir, "events")).filter(F.col("event_type") != "click")
+    rows = log.select("job_id", status_of(F.col("event_type")).alias("status"), "ts", "seq")
+    out = _run(W.stuck_jobs(rows, PATIENCE_MINUTES, DELAY), "requeued")
+    return out.select("job_id", shown("running_since").alias("running_since"), "seq")
+
+
 def stream_final_flush(spark, sf_dir):
     """Finished jobs to their three sinks; shows what the sinks hold."""
     base = scratch_path(spark, "flush")
@@ -286,7 +319,7 @@ def stream_final_flush(spark, sf_dir):
 
     def sink(name: str, key: str, *columns: str) -> DataFrame:
         value = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
-        return spark.read.parquet(f"{base}/out/{name}").select(F.lit(name).alias("sink"), F.col(key).alias("key"), value.alias("value"))
+        return S.committed(spark, f"{base}/out", name).select(F.lit(name).alias("sink"), F.col(key).alias("key"), value.alias("value"))
 
     return (sink("documents", "job_id", "path")
             .unionByName(sink("jobs", "id", "status", "source_path", "was_scan", "result_json", "warnings_json"))
@@ -294,7 +327,7 @@ def stream_final_flush(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    job_state, job_state_as_of, job_partial_update, job_latest_rows, terminal_jobs, stale_jobs, job_overlay,
+    job_state, job_state_as_of, claim_history, claim_states_asked, job_partial_update, job_latest_rows, terminal_jobs, stale_jobs, job_overlay,
     trail_overlay, known_job_events, trails_oldest_first, lifecycle_violations, new_job_rows, received_events,
     appended_events, stored_jobs, loaded_jobs, job_lookup, job_by_id, trail_by_id, stream_routing, stream_unique_events,
-    stream_live_status, stream_final_flush)}
+    stream_live_status, stream_requeued_jobs, stream_final_flush)}

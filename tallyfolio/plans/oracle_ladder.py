@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from tallyfolio.operators.intake import REDACTIONS, UNKNOWN
+from tallyfolio.operators.linking import LEAST, LONG
 from tallyfolio.operators.parties import LEGAL_FORMS
 from tallyfolio.plans.ladder import CHUNK_WORDS, SIGNALS, THRESHOLD
 
@@ -24,7 +25,7 @@ FIRED = ", ".join(f"CASE WHEN h{i} > 0 THEN '{s.name}' END" for i, s in enumerat
 PARTY = (f"trim(regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9#]+', ' ', 'g')), '( ({'|'.join(LEGAL_FORMS)}))+$', '', 'g'))")
 
 CTES = {
-    "asked": "SELECT vec_id AS query_id, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 3",
+    "asked": "SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0",
     "neighbours": """
         SELECT * FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
@@ -60,7 +61,32 @@ ORACLE = {
     "linked_documents": """
         SELECT * FROM (SELECT job_id AS doc_id, po, min(job_id) OVER (PARTITION BY po) AS first_doc,
                               count(*) OVER (PARTITION BY po) AS n_docs FROM bills WHERE po IS NOT NULL) WHERE n_docs > 1""",
+    "linked_groups": """
+        SELECT * FROM (WITH RECURSIVE lines AS (
+            SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
+        held AS (SELECT DISTINCT doc_id, key FROM (
+            SELECT doc_id, unnest(['f' || md5(ls[1]), 'l' || md5(ls[-1])]) AS key FROM lines) WHERE key IS NOT NULL),
+        tops AS (SELECT key, min(doc_id) AS top, count(*) AS n FROM held GROUP BY key HAVING count(*) > 1),
+        pairs AS (SELECT doc_id AS a, top AS b FROM held JOIN tops USING (key) UNION SELECT top, doc_id FROM held JOIN tops USING (key)),
+        reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+        named AS (SELECT a AS doc_id, min(b) AS group_id FROM reach GROUP BY a),
+        counted AS (SELECT doc_id, sum(n - 1)::BIGINT AS n_links FROM held JOIN tops USING (key) GROUP BY doc_id)
+        SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS n_docs, coalesce(n_links, 0) AS n_links
+        FROM named LEFT JOIN counted USING (doc_id))""",
+    "similar_parties": f"""
+        SELECT * FROM (WITH RECURSIVE spelt AS (
+            SELECT name, {PARTY} AS party_key FROM (SELECT DISTINCT unnest([vendor, left(vendor, 2) || substr(vendor, 4),
+                replace(vendor, 'lier', 'liar') || ' Inc.']) AS name FROM bills)),
+        ks AS (SELECT DISTINCT party_key AS k, regexp_replace(party_key, '[^0-9]', '', 'g') AS digits FROM spelt),
+        pairs AS (SELECT a.k AS a, b.k AS b FROM ks a JOIN ks b ON a.digits = b.digits AND a.k <> b.k
+                  AND levenshtein(a.k, b.k) <= CASE WHEN least(length(a.k), length(b.k)) < {LEAST} THEN 0
+                                                    WHEN least(length(a.k), length(b.k)) < {LONG} THEN 1 ELSE 2 END),
+        reach AS (SELECT k AS a, k AS b FROM ks UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+        named AS (SELECT a AS party_key, min(b) AS root FROM reach GROUP BY a)
+        SELECT name, party_key, min(name) OVER (PARTITION BY root) AS canonical, count(*) OVER (PARTITION BY root) AS n_names
+        FROM spelt JOIN named USING (party_key))""",
     "near_vectors": "SELECT query_id, rank, vec_id, label, round(similarity, 6) AS similarity FROM neighbours",
+    "indexed_vectors": "SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM neighbours",
     "near_vector_votes": """
         SELECT query_id, label, votes FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS place

@@ -49,7 +49,27 @@ CTES = {
                        FROM job_log WHERE (user_id % 2 = 1 OR user_id % 10 = 0) AND ts <= {AS_OF}) WHERE rn = 1""",
 }
 
+def asked_column(c: str) -> str:
+    """A column's last write at or before each question, by an as-of join."""
+    return f"""a_{c} AS (
+        SELECT q.job_id, q.seq, w.w.v AS {c} FROM asked q ASOF LEFT JOIN (
+            SELECT job_id, ts, arg_max({c}, seq) AS w FROM changes WHERE {c} IS NOT NULL GROUP BY job_id, ts) w
+        ON q.job_id = w.job_id AND q.moment >= w.ts)"""
+
+
 ORACLE = {
+    "claim_history": f"""
+        SELECT job_id, coalesce(w.v, '') AS status, {shown('ts')} AS valid_from, coalesce({shown('following')}, '') AS valid_to
+        FROM (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS following
+              FROM (SELECT *, lag(w) OVER (PARTITION BY job_id ORDER BY ts) AS previous
+                    FROM (SELECT job_id, ts, arg_max(status, seq) AS w FROM changes WHERE status IS NOT NULL GROUP BY job_id, ts))
+              WHERE previous IS NULL OR previous.v IS DISTINCT FROM w.v)""",
+    "claim_states_asked": f"""
+        SELECT * FROM (WITH asked AS (
+            SELECT unnest([job_id, user_id || '-' || strftime(ts - INTERVAL 1 DAY, '%Y%m%d')]) AS job_id, seq, ts + INTERVAL 90 MINUTE AS moment
+            FROM job_log WHERE seq % 5 = 0), {', '.join(map(asked_column, COLUMNS))}
+        SELECT job_id, seq, {shown('moment')} AS moment, {', '.join(f"coalesce({c}, '') AS {c}" for c in COLUMNS)}
+        FROM asked {' '.join(f'JOIN a_{c} USING (job_id, seq)' for c in COLUMNS)})""",
     "job_state": flat(folded("true")),
     "job_state_as_of": flat(folded(f"ts <= {AS_OF}")),
     "job_partial_update": flat(f"""
@@ -119,6 +139,11 @@ ORACLE = {
             SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn,
                    count(*) OVER (PARTITION BY job_id) AS n_events
             FROM job_log WHERE event_type <> 'click') WHERE rn = 1""",
+    "stream_requeued_jobs": f"""
+        SELECT job_id, {shown('ts')} AS running_since, seq FROM (
+            SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS following FROM job_log WHERE event_type <> 'click')
+        WHERE status = 'RUNNING' AND epoch_ms(ts) + 21600000 < coalesce(epoch_ms(following), (SELECT max(epoch_ms(ts)) - 3600000 + 1 FROM job_log
+                                                                                             WHERE event_type <> 'click'))""",
     "stream_final_flush": f"""
         SELECT 'documents' AS sink, id AS key, path AS value FROM flushed
         UNION ALL SELECT 'jobs', id, status || '|' || path || '|false|-|["' || event_type || '"]' FROM flushed

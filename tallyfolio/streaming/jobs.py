@@ -3,15 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyfolio.operators.jobs import terminal
 from tallyfolio.operators.pages import route
+from tallyfolio.operators.staging import written
 from tallyfolio.sources.documents import retained_path
-from tallyfolio.sources.jobstore import audit_rows, flush, stored_form
+from tallyfolio.sources.jobstore import audit_rows, flush_together, is_committed, stored_form
+from tallyfolio.streaming.runs import FAN, RunTable, seen_ids
 
 
 def route_arrivals(documents: DataFrame) -> DataFrame:
@@ -20,24 +20,21 @@ def route_arrivals(documents: DataFrame) -> DataFrame:
 
 
 def keep_new(folder: str, key: str = "event_id", ts: str = "ts") -> Callable[[DataFrame, int], None]:
-    """Batch writer for a trail that holds each event once, however late it arrives.
+    """Batch writer for a trail that holds each id once, whenever and with whatever time it comes.
 
-    The target itself says what is known: a batch is reduced to keys that other batches of the
-    same days have not written. Nothing is kept in stream state and no event is dropped for
-    being late. A repeated batch replaces its own folders.
+    The ids stand in merged runs beside the trail (``<folder>-ids``), in hash buckets that have
+    nothing to do with the day: a batch looks up its own buckets and does not read the trail.
+    Nothing is kept in stream state and no event is dropped for being late. Of rows with one id in
+    a batch one is kept. A repeated batch replaces its own folders.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key]).withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
-        new = new.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        try:
-            known = spark.read.schema(new.schema).parquet(folder).filter(F.col("batch_id") != batch_id)
-            new = new.join(known.select(key, "day"), [key, "day"], "left_anti")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise       # else this is the first batch
-        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("day", "batch_id").parquet(folder))
+        seen = seen_ids(spark, f"{folder}-ids", key, batch.schema[key].dataType.simpleString())
+        sent = written(batch.dropDuplicates([key]), "sent")
+        new = written(sent.join(seen.lookup(sent, batch_id), key, "left_anti"), "new")
+        (new.withColumns({"day": F.date_format(ts, "yyyy-MM-dd"), "batch_id": F.lit(batch_id).cast("bigint")}).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(folder))
+        seen.add(new.select(key), batch_id)
     return write
 
 
@@ -64,6 +61,22 @@ def keep_live(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+STATUS = "job_id string, status string, ts timestamp, seq bigint, n_events bigint"
+
+
+def live_table(spark: SparkSession, folder: str, fan: int = FAN) -> RunTable:
+    """Live status as merged runs: a job has one row in each of some log(batches) runs."""
+    return RunTable(spark, folder, STATUS, "job_id", current_status, fan)
+
+
+def merge_live(folder: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer of a live-status stream whose older batches are merged as it goes."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now = live_status(batch).select("job_id", "status", "ts", F.col("seq").cast("bigint").alias("seq"), "n_events")
+        live_table(batch.sparkSession, folder).add(written(now, "live"), batch_id)
+    return write
+
+
 def write_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
                   mode: str = "append") -> StreamingQuery:
     """Run a stream over what is there, batch by batch, and stop.
@@ -93,16 +106,16 @@ def flush_finished(folder: str, root: str = "/documents") -> Callable[[DataFrame
     """Batch writer for finished jobs: document, job row and trail, each once, as they are stored.
 
     Expects ``job_id, content, events ARRAY<ts, stage, detail>`` and the job's own columns. The
-    batch is computed once and kept on disk for its three writes.
+    batch is computed once, into a table of the shared folder, for its three writes; readers see
+    the three together (``sources.jobstore.committed``).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = terminal(batch).persist(StorageLevel.DISK_ONLY)
-        try:
-            path = retained_path(root, F.col("job_id"), F.col("filename"))
-            documents = done.select(path.alias("path"), "job_id", "filename", "content")
-            rows = done.withColumnRenamed("job_id", "id").withColumn(
-                "source_path", retained_path(root, F.col("id"), F.col("filename")))
-            flush(documents, stored_form(rows), audit_rows(done.select("job_id", "events")), folder, batch_id)
-        finally:
-            done.unpersist()
+        if is_committed(batch.sparkSession, folder, batch_id):
+            return
+        done = written(terminal(batch), "finished")
+        path = retained_path(root, F.col("job_id"), F.col("filename"))
+        documents = done.select(path.alias("path"), "job_id", "filename", "content")
+        rows = done.withColumnRenamed("job_id", "id").withColumn(
+            "source_path", retained_path(root, F.col("id"), F.col("filename")))
+        flush_together(documents, stored_form(rows), audit_rows(done.select("job_id", "events")), folder, batch_id)
     return write

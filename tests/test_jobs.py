@@ -133,12 +133,23 @@ def test_streams_read_folders_of_part_files(spark, sf_dir, tmp_path, name):
     assert one == parts and one
 
 
-def test_hot_keys_are_dealt_to_many_parts(spark):
-    rows = spark.range(9000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("job_id"), F.col("id").alias("seq"))
+def test_hot_keys_are_split_between_tasks(spark):
+    rows = spark.range(60_000).select((F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id"))).alias("job_id"), F.col("id").alias("seq"),
+                                      F.lit("x" * 40).alias("detail")).repartition(6)
     known = rows.filter("job_id % 2 = 0").select("job_id").distinct()
-    dealt = J.with_known_jobs(rows, known)
-    assert sorted(r.seq for r in dealt.collect()) == sorted(r.seq for r in rows.join(known, "job_id", "left_semi").collect())
-    assert "_part" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        dealt = J.with_known_jobs(rows, known)
+        assert sorted(r.seq for r in dealt.collect()) == sorted(r.seq for r in rows.join(known, "job_id", "left_semi").collect())
+        assert "skew=true" in dealt._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_positions_across_blocks(spark):
