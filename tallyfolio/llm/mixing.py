@@ -130,8 +130,9 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
                                   word_count(F.col(text)).alias("size")), "mix-sizes")
     picks = written(schedule(narrow, weights, most).filter("copies > 0").select(
         F.col("row").alias("pick_row"), F.col("copies").alias("pick_copies")), "mix-picks")
+    # The picks grow with the documents: merged at any size, never broadcast.
     both = table.select(F.struct(*docs.columns).alias("doc"), F.col(row).alias("doc_row")).join(
-        picks, F.col("doc_row") == F.col("pick_row"))
+        picks.hint("merge"), F.col("doc_row") == F.col("pick_row"))
     return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("pick_copies")))).select("doc.*")
 
 

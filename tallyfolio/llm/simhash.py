@@ -459,7 +459,8 @@ def _dropped(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> lis
     Round by round, a node that is the first of all its buckets stays, and what is similar to it
     in its buckets goes. Buckets of many nodes that are not similar would take a round for each:
     after ``STAR_ROUNDS`` the nodes left are joined by their rarest shingles, and the pairs that are
-    similar go on as buckets of two.
+    similar go on as buckets of two. Tables that grow with the documents are joined by merging at any
+    size: none is small enough to broadcast where it matters, and a hot row is split.
     """
     open_, gone, kept_texts = nodes.select("place", "n", F.explode("keys").alias("key")), [], None
     kind = nodes.schema["place"].dataType.simpleString()
@@ -469,8 +470,8 @@ def _dropped(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> lis
         pairs = written(pairs.filter(_sizes_fit(F.col("n"), F.col("other_n"), percent)).distinct(), "near-pairs")
         mine = kept_texts.select(F.col("row").alias("mine"), "text")
         its = kept_texts.select(F.col("row").alias("its"), F.col("text").alias("other_text"))
-        both = (pairs.join(mine, F.col("place.row") == F.col("mine")).drop("mine")
-                .join(its, F.col("other.row") == F.col("its")).select("place", "n", "other", "other_n", "text", "other_text"))
+        both = (pairs.join(mine.hint("merge"), F.col("place.row") == F.col("mine")).drop("mine")
+                .join(its.hint("merge"), F.col("other.row") == F.col("its")).select("place", "n", "other", "other_n", "text", "other_text"))
         return written(both.sortWithinPartitions("other").mapInArrow(
             _verified(size, percent), f"place {kind}, n bigint, other {kind}, other_n bigint"), "near-verified")
 
@@ -496,7 +497,7 @@ def _dropped(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> lis
         if kept_texts is None:
             # Only texts with a candidate are read again.
             named = written(shared.select(F.col("place.row").alias("row")).distinct(), "near-named")
-            kept_texts = written(texts.join(named, "row", "left_semi"), "near-texts")
+            kept_texts = written(texts.join(named.hint("merge"), "row", "left_semi"), "near-texts")
         if rounds == STAR_ROUNDS:
             found = similar_pairs(written(shared.select("place", "n").distinct(), "near-left"))
             node = F.array(F.struct("place", "n"), F.struct(F.col("other").alias("place"), F.col("other_n").alias("n")))
@@ -506,7 +507,7 @@ def _dropped(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> lis
         sure = written(shared.groupBy("place").agg(F.max(F.col("other") < F.col("place")).alias("waits"))
                        .filter("NOT waits").select("place"), "near-sure")
         pairs = shared.filter("other < place").select("place", "n", "other", "other_n")
-        pairs = pairs.join(sure.select(F.col("place").alias("other")), "other", "left_semi")
+        pairs = pairs.join(sure.select(F.col("place").alias("other")).hint("merge"), "other", "left_semi")
         out = written(verify(pairs).select("place").distinct(), "near-gone")
         gone.append(out)
         open_ = shared.select("place", "n", "key").join(out.union(sure), "place", "left_anti")
@@ -534,7 +535,7 @@ def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     for out in _dropped(nodes, table.select(F.col(row).alias("row"), F.col(text).alias("text")), shingle, percent):
         kept = kept.join(out, "place", "left_anti")
     kept = written(kept.select(F.col("place.row").alias(row)), "near-kept")
-    return table.join(kept, row, "left_semi").select(*docs.columns)
+    return table.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
