@@ -3,9 +3,11 @@
 Vectors are dealt to shards of bounded size at random. A task reads the vectors of a shard,
 builds its tree, and answers the queries that follow as they stream past. Nodes are visited in
 the order of their upper bound, ``q.centre + |q| * radius``; the search ends when the next
-bound is below the k-th best score. Every query first goes to one pilot shard; the k-th score
-found there is a floor for all other shards, so they start pruning at once. Only the best k of
-each shard leave it.
+bound is below the k-th best score. Every query first goes to a pilot shard of its own, chosen by
+hash, so all shards are pilots for their share; the k-th score found there is a floor for all other
+shards, so they start pruning at once. Queries are dealt to groups of bounded size, and a
+shard's vectors are repeated for each group: no task answers more queries than a group holds.
+Only the best k of each shard leave it.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor
 do rows without an id; vectors of different length are not compared; components beyond a long
@@ -26,6 +28,7 @@ from tallyfolio.llm.common import written
 
 TOP = 5
 SHARD_ROWS = 16384
+GROUP_ROWS = 8192
 LEAF = 64
 # Products below this are exact in doubles.
 _EXACT = 2.0 ** 52
@@ -113,7 +116,7 @@ def _search_shards(k: int):
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             columns = {c: batch.column(c) for c in batch.schema.names}
-            keys = np.stack([columns[c].to_numpy(zero_copy_only=False) for c in ("shard", "kind")], axis=1)
+            keys = np.stack([columns[c].to_numpy(zero_copy_only=False) for c in ("shard", "part", "kind")], axis=1)
             rows, ids = (columns[c].to_numpy(zero_copy_only=False) for c in ("row", "id"))
             floors = columns["floor"].fill_null(-_LONG - 1).to_numpy(zero_copy_only=False)
             lists = columns["v"]
@@ -124,11 +127,11 @@ def _search_shards(k: int):
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
                 if a == b:
                     continue
-                if keys[a, 0] != shard:
-                    shard, trees, held = keys[a, 0], {}, {}
+                if tuple(keys[a, :2]) != shard:
+                    shard, trees, held = tuple(keys[a, :2]), {}, {}
                 d = int(size[a])
                 vectors = flat[offset[a]:offset[b]].reshape(b - a, d)
-                if keys[a, 1] == 0:
+                if keys[a, 2] == 0:
                     held.setdefault(d, []).append((rows[a:b], ids[a:b], vectors))
                     continue
                 if held:
@@ -158,35 +161,35 @@ def prepared(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
         F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("bigint").alias("id"), whole.alias("v"))
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = TOP, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = TOP, shard_rows: int = SHARD_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``table`` (row, id, v) that are queries.
 
-    ``table`` is stored data: its row numbers must not change between reads. Each vector is
-    shuffled once; each query goes to every shard, and k rows come back from each.
+    ``table`` is stored data: its row numbers must not change between reads. Each query goes to
+    every shard, and k rows come back from each.
     """
+    queries = table.filter(is_query)
     shards = max(1, -(-table.count() // shard_rows))
+    parts = max(1, -(-queries.count() // group_rows))
     none = F.lit(None).cast("bigint")
-    dealt = table.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
-                         "row", "id", "v", none.alias("floor"))
-    queries = table.filter(is_query)
-
-    def ask(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-        rows = vectors.unionByName(asked).repartition("shard").sortWithinPartitions(
-            "shard", "kind", F.size("v"), "row")
+    parted = queries.select("row", "id", "v", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int").alias("part"),
+                            F.pmod(F.xxhash64("row", F.lit(2)), F.lit(shards)).cast("int").alias("pilot"))
+    vectors = table.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "id", "v")
+    vectors = vectors.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"),
+                             "row", "id", "v", none.alias("floor"))
+
+    def ask(shard: Column, asked: DataFrame, floor: Column) -> DataFrame:
+        rows = vectors.unionByName(asked.select(shard.alias("shard"), "part", F.lit(1).alias("kind"), "row", "id", "v", floor.alias("floor")))
+        rows = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", F.size("v"), "row")
         return rows.mapInArrow(_search_shards(k), "row bigint, query_id bigint, vec_id bigint, score bigint")
 
-    def to(shard: Column, asked: DataFrame, floor: Column) -> DataFrame:
-        return asked.select(shard.alias("shard"), F.lit(1).alias("kind"), "row", "id", "v",
-                            floor.alias("floor"))
-
-    pilot = written(ask(dealt.filter("shard = 0"), to(F.lit(0), queries, none)), "top-pilot")
+    pilot = written(ask(F.col("pilot"), parted, none), "top-pilot")
     found = pilot
     if shards > 1:
         floors = (pilot.groupBy(F.col("row").alias("of")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
                   .filter(F.col("n") == k).select("of", "least"))
-        known = queries.join(floors, queries["row"] == floors["of"], "left")
-        rest = to(F.explode(F.sequence(F.lit(1), F.lit(shards - 1))), known, F.col("least"))
-        found = pilot.union(ask(dealt.filter("shard > 0"), rest))
+        known = parted.join(floors, parted["row"] == floors["of"], "left")
+        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("pilot"))
+        found = pilot.union(ask(F.explode(others), known, F.col("least")))
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -223,7 +223,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, columns
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, out: str = "decoded") -> DataFrame:
-    """``encoded`` with the decoded text ``out``; null ids give a null text."""
+    """``encoded`` with the decoded text ``out`` (under a free name, if it has such a column); null ids give a null text."""
+    out = fresh(encoded, out)
     path, at = path or vocabulary_path(), encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

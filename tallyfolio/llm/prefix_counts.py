@@ -308,6 +308,23 @@ def prefix_table(docs: DataFrame, text: str = "text", out: str = "prefix_tokens"
     return docs.mapInArrow(run, StructType([*docs.schema, StructField(out, ArrayType(LongType()))]))
 
 
+def truncations(counted: DataFrame, budgets: list[int], text: str = "text", prefix: str = "prefix_tokens") -> DataFrame:
+    """The rows of ``prefix_table`` once per budget: the longest prefix within it, its tokens, whether all fits.
+
+    Answered from the stored counts alone: no text is encoded again. Adds ``budget``, ``cut_chars``,
+    ``cut_tokens`` and ``whole``; a column of one of these names is refused.
+    """
+    added = ("budget", "cut_chars", "cut_tokens", "whole")
+    if clash := {c.lower() for c in counted.columns} & set(added):
+        raise ValueError(f"the table has columns {sorted(clash)}")
+    each = counted.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets])))
+    # A longer prefix may have fewer tokens than a shorter one: the last that fits is wanted.
+    fits = F.transform(prefix, lambda n, i: F.when(n <= F.col("budget"), i))
+    each = each.withColumn("cut_chars", F.array_max(fits).cast("bigint"))
+    return each.withColumns({"cut_tokens": F.element_at(prefix, (F.col("cut_chars") + 1).cast("int")),
+                             "whole": F.element_at(prefix, -1) <= F.col("budget")})
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 

@@ -15,8 +15,9 @@ is what reaches the driver. Candidate words are counted where the sampled texts
 per batch before the shuffle. Scoring is one pass over every whole text.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out: neither their labels nor their texts
-are learnt from. Defined results: a null or blank text gets the score of no words; repeated
-rows score alike; without any confirmed toxic row all scores are 0; null labels are unlabelled.
+are learnt from. Defined results: a null or blank text gets the score of no words; very long texts
+are scored whole; repeated rows score alike, and equal scores are left equal; only id, text and
+``toxic`` are looked at, whatever other columns are called; an empty table gives an empty one; without any confirmed toxic row all scores are 0; null labels are unlabelled.
 """
 from __future__ import annotations
 

@@ -170,6 +170,45 @@ def test_groups(spark, monkeypatch, small_buckets):
     assert {ids[r.fp]: r.component_id for r in got} == dict(enumerate(components(prints)))
 
 
+def test_registered_fingerprints_and_groups(spark):
+    """The contract's columns of the whole small table, by brute force."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r for r in simhash.op5_simhash(spark, "/root/testdata/sf0.001").collect()}
+    ids = sorted(docs)
+    prints = [plain_print(docs[i]) for i in ids]
+    root = list(range(len(ids)))
+    for a, b in sorted(close_pairs(prints, 2)):
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {
+        i: (f"{p:016x}", ids[root[k]]) for k, (i, p) in enumerate(zip(ids, prints))}
+
+
+def test_prefix_pairs_lose_no_similar_pair(spark):
+    rng = random.Random(13)
+    common = [rng.getrandbits(62) for _ in range(400)]
+    sets = []
+    for _ in range(120):
+        n = rng.randint(1, 60)
+        base = rng.choice(sets)[:] if sets and rng.random() < 0.5 else rng.sample(common, n)
+        for _ in range(rng.randint(0, 6)):
+            base[rng.randrange(len(base))] = rng.getrandbits(62)
+        sets.append(sorted(set(base)))
+    df = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "member bigint, n bigint, shingles array<bigint>")
+    got = {tuple(sorted((r.one, r.two))) for r in simhash.prefix_pairs(df).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
+    assert want <= got and len(want) > 10 and len(got) < 10 * len(want)
+
+
+def test_a_common_passage_makes_no_pairs(spark):
+    rng = random.Random(14)
+    passage = [rng.getrandbits(62) for _ in range(300)]
+    sets = [passage + [rng.getrandbits(62) for _ in range(100)] for _ in range(200)]
+    df = spark.createDataFrame([(i, 400, s) for i, s in enumerate(sets)], "member bigint, n bigint, shingles array<bigint>")
+    assert simhash.prefix_pairs(df).count() == 0
+
+
 def test_one_document_of_each_group_stays(spark, odd):
     rows = [("the same text of some words " * 3, "en", "s")] * 5 + [(f"quite another text number {i} with own words {i * 7}", "en", "s") for i in range(3)]
     docs = table(spark, rows)

@@ -1,4 +1,5 @@
 """Tokenizers, token files, vector search, toxicity, pipeline: against the library or brute force."""
+import hashlib
 import random
 import zlib
 
@@ -87,8 +88,71 @@ def test_token_counts_table(spark):
     df = spark.createDataFrame([(1, "one two"), (2, None), (None, "x " * 2000), (1, "one two")], "doc_id bigint, text string")
     got = {(r.id, r.n_bytes, r.n_tokens, r.over_limit, r.cut_chars) for r in prefix_counts.token_counts(df).collect()}
     assert {(1, 7, 2, False, 7), (2, 0, 0, False, 0)} < got and len(got) == 3
-    table = prefix_counts.prefix_table(df.withColumn("prefix_tokens", F.lit(0)).limit(1)).first()
-    assert table["prefix_tokens_"] == [0, 1, 1, 1, 2, 2, 2, 2] or len(table["prefix_tokens_"]) == 8
+    table = prefix_counts.prefix_table(df.withColumn("prefix_tokens", F.lit(0)).filter("doc_id = 1")).first()
+    library = Tokenizer.from_file(prefix_counts.vocabulary_path())
+    assert table["prefix_tokens_"] == [len(library.encode("one two"[:i], add_special_tokens=False).ids) for i in range(8)]
+    assert prefix_counts.token_counts(df.limit(0)).count() == 0 == prefix_counts.prefix_table(df.limit(0)).count()
+
+
+def test_budgets_are_answered_from_stored_counts(spark, byte_library):
+    texts = strange_texts(60, 21)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    counted = written(prefix_counts.prefix_table(df), "test-prefixes")
+    budgets = [0, 1, 5, 40]
+    got = {(r.doc_id, r.budget): r for r in prefix_counts.truncations(counted, budgets).collect()}
+    for i, t in enumerate(texts):
+        # Very long texts are held against the library at the cut and beside it only.
+        if len(t) <= 200:
+            n = [len(byte_library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+            for b in budgets:
+                k = max(k for k, x in enumerate(n) if x <= b)
+                r = got[i, b]
+                assert (r.cut_chars, r.cut_tokens, r.whole) == (k, n[k], n[-1] <= b), (t, b)
+    with pytest.raises(ValueError):
+        prefix_counts.truncations(counted.withColumn("Whole", F.lit(1)), budgets)
+
+
+# ------------------------------------------------------------------ the registered queries against their contracts
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_registered_bpe(spark, small):
+    library = Tokenizer.from_file(pair_index.vocabulary_path())
+    got = {r.doc_id: r for r in pair_index.op1_bpe(spark, SMALL).collect()}
+    assert got.keys() == small.keys()
+    for i, text in small.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == sha(" ".join(map(str, ids)))
+        assert got[i].decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_registered_counts_and_files(spark, small, byte_library):
+    counts = {r.doc_id: r for r in prefix_counts.op7_token_counts(spark, SMALL).collect()}
+    files = {r.doc_id: r for r in token_files.op10_token_files(spark, SMALL).collect()}
+    assert counts.keys() == files.keys() == small.keys()
+    start = 0
+    for i in sorted(small):
+        ids = byte_library.encode(small[i], add_special_tokens=False).ids
+        assert (counts[i].n_bytes, counts[i].n_tokens, counts[i].over_limit) == (len(small[i].encode()), len(ids), len(ids) > 512)
+        ids = [*ids, 2]
+        assert (files[i].start, files[i].n_tokens, files[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_decoding_keeps_a_column_of_its_own_name(spark):
+    df = spark.createDataFrame([("a", "kept")], "text string, decoded string")
+    out = pair_index.decode(pair_index.encode(df))
+    assert out.columns == ["text", "decoded", "ids", "n_tokens", "decoded_"] and out.first().decoded == "kept"
 
 
 # ------------------------------------------------------------------ op 10
@@ -157,8 +221,8 @@ def test_search_matches_brute_force(spark):
         if i % 50 == 0:
             top = sorted((-max(-(2 ** 63 - 1), min(2 ** 63 - 1, int((q * v).sum()))), j) for r, j, v in vectors if r != row and len(v) == len(q))[:5]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(top)]
-    for shard_rows in (10 ** 6, 150):
-        got = ball_tree.nearest(table, F.col("id") % 50 == 0, 5, shard_rows)
+    for shard_rows, group_rows in ((10 ** 6, 10 ** 6), (150, 10 ** 6), (150, 7)):
+        got = ball_tree.nearest(table, F.col("id") % 50 == 0, 5, shard_rows, group_rows)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert ball_tree.nearest(table.limit(0), F.col("id") % 50 == 0).count() == 0
 
@@ -174,6 +238,21 @@ def test_nnpu_separates_without_negative_labels():
     assert ((hidden @ w + b) > 0).mean() > 0.9 and ((clean @ w + b) > 0).mean() < 0.02
 
 
+def test_scores_are_the_model_over_the_features(spark):
+    """Scoring sums beginnings by a path of its own: the same as weights over ``features``."""
+    rng = random.Random(4)
+    words = ["abcde", "abcdx", "abc", "ab", "zzzz", "bad", "badly", "éclair", "Bad", "a"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(200)] + ["", None, "bad " * 50_000, "bad " * 50_000]
+    every = sorted(set().union(*(toxicity.features(t) for t in texts)))
+    weights = {f: rng.uniform(-1, 1) for f in every if rng.random() < 0.6}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumns({"id": F.lit("x"), "score": F.lit("y")})
+    got = {r.id: r.score for r in toxicity.scored(df, (weights, -0.3)).collect()}
+    for i, t in enumerate(texts):
+        z = -0.3 + sum(weights.get(f, 0.0) for f in toxicity.features(t))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-min(max(z, -40), 40)))), t
+    assert got[202] == got[203] and toxicity.scored(df.limit(0), (weights, -0.3)).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(12)
 
@@ -203,7 +282,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_every_operator_has_its_query():
     names = catalog.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(catalog.oracle_sql()) <= set(names)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(catalog.oracle_sql()) <= set(names)
 
 
 def test_pipeline_stages(spark, sf_dir):
