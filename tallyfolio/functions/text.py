@@ -76,6 +76,7 @@ def norm_date(value: Column) -> Column:
     checked; only the first hit of each shape counts.
     """
     s = F.lower(strip(value))
+    # The three shapes.
     iso = F.nullif(F.regexp_extract(s, r"\d{4}-\d{2}-\d{2}", 0), F.lit(""))
 
     named = r"([a-z]{3,})[\p{L}\p{N}_]*\.?\s+(\d{1,2}),?\s+(\d{4})"

@@ -152,6 +152,7 @@ def route(documents: DataFrame) -> DataFrame:
     df = documents.withColumn("has_text", is_usable_text(F.col("text")))
     df = df.withColumn("images", F.when(~F.col("has_text"), image_pages(F.col("pages"))))
     renderable = F.coalesce(F.size("images") > 0, F.lit(False))
+    # Fixed value: the text of the error.
     return (df.withColumn("was_scan", ~F.col("has_text"))
             .withColumn("reader", F.when(F.col("has_text"), "text").when(renderable, "vision"))
             .withColumn("route_error", F.when(F.col("reader").isNull(),

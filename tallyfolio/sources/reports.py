@@ -14,8 +14,9 @@ def ranking_text(ranked: DataFrame) -> DataFrame:
     spark = ranked.sparkSession
     head = spark.createDataFrame([(i - len(HEAD), line) for i, line in enumerate(HEAD)], "pos int, line string")
     best = ranked.filter(F.col("rank") == 1).select("config", "overall", "n_docs")
-    size = ranked.agg(F.max("rank").alias("last"))
-    tail = best.join(size).select((F.col("last") + 1).alias("pos"), F.format_string(
+    # One row on either side, joined by a constant key.
+    size = ranked.agg(F.max("rank").alias("last"), F.lit(1).alias("key"))
+    tail = best.withColumn("key", F.lit(1)).join(size, "key").select((F.col("last") + 1).alias("pos"), F.format_string(
         "Best so far: `%s` with %.3f over %d labelled documents.", "config", "overall", "n_docs").alias("line"))
     return head.unionByName(report_rows(ranked)).unionByName(tail).orderBy("pos")
 

@@ -91,3 +91,9 @@ def test_index_grows_by_batches(spark, tmp_path, table, queries, rows):
 def test_nothing(spark, tmp_path, table, queries):
     assert V.nearest_to(table.limit(0), queries).count() == 0
     assert V.nearest_to(table, queries.limit(0)).count() == 0
+
+
+def test_probes_of_the_registered_index_recall_nine_of_ten(spark):
+    from tallyfolio.plans import ladder
+    found = ladder.vector_probe_recall(spark, "/root/testdata/sf0.01").agg(F.sum("hits") / F.sum("n")).first()[0]
+    assert found >= 0.9
