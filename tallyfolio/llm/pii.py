@@ -32,7 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyfolio.llm.common import documents, merged_spans, written
 
@@ -454,8 +454,10 @@ def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_doc
     counts = {k: np.zeros((2, STEPS), np.int64) for k in KINDS}
     for k, step, label in zip(kind[held], step_of(model.probabilities(x[held])), y[held]):
         counts[k][int(label), step] += 1
-    # Only documents with a sign of a kind can give examples of note; the others are not read again.
-    rest = (keyed.join(signs.select("id_hash").distinct(), "id_hash", "left_semi").join(F.broadcast(chosen), "id_hash", "left_anti")
+    # Only documents with a sign of a kind can give examples of note. The signs are looked for again in place:
+    # a join with those found would move every text.
+    signed = reduce(Column.__or__, [F.col("text").rlike(p) for p in SIGNS.values()])
+    rest = (keyed.filter(F.col("named") & signed).join(F.broadcast(chosen), "id_hash", "left_anti")
             .select("text").mapInArrow(_counted(model), "kind string, step bigint, y int"))
     for row in rest.groupBy("kind", "step", "y").agg(F.count("*").alias("n")).collect():
         counts[row["kind"]][row["y"], row["step"]] += row["n"]
