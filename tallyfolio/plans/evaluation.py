@@ -3,14 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyfolio.functions.money import score_round
-from tallyfolio.operators import benchmark as B, cascade as C, monitoring as M, reports as R
+from tallyfolio.functions.money import score_round, token_cost
+from tallyfolio.operators import benchmark as B, cascade as C, monitoring as M, reports as R, usage as U
 from tallyfolio.operators.pages import by_confidence
 from tallyfolio.operators.staging import written
 from tallyfolio.plans import tables as T
 from tallyfolio.plans.records import scored, settled, text
 from tallyfolio.sources import gold as G
 from tallyfolio.sources.reports import detail_text, ranking_text
+from tallyfolio.session import scratch_path
 
 
 # Invented models of the fixture.
@@ -214,6 +215,22 @@ def quality_metrics(spark, sf_dir):
     return R.quality(settled(spark, sf_dir), T.attempts(spark, sf_dir))
 
 
+def usage_rollup(spark, sf_dir):
+    """Latency and cost of all recorded calls by year, tier and vendor, added in two batches."""
+    b = T.bills(spark, sf_dir).select("job_id", "vendor", F.date_format("shipped", "yyyy").alias("year"))
+    dollars = F.when(F.col("tier") == "tier-2", token_cost(F.col("tokens_in"), F.col("tokens_out"), *map(F.lit, R.TIER2_PRICE))).otherwise(
+        token_cost(F.col("tokens_in"), F.col("tokens_out"), *map(F.lit, R.TIER1_PRICE)))
+    calls = T.attempts(spark, sf_dir).select("job_id", "tier", "error_class", F.col("latency_s").alias("latency"), dollars.alias("cost"))
+    calls = written(calls.join(b, "job_id"), "usage-calls")
+    groups = ["year", "tier", "vendor"]
+    state = U.UsageState(spark, scratch_path(spark, "usage"), groups, ["latency", "cost"])
+    for batch in (F.col("year") < "1995", F.col("year") >= "1995"):
+        state.add(calls.filter(batch), F.col("error_class").isNotNull())
+    return U.usage_report(state.read(), groups).select(
+        F.col("level").cast("bigint").alias("level"), *[F.coalesce(g, F.lit("(all)")).alias(g) for g in groups],
+        "measure", "n", "n_failed", "total", "p500", "p950", "p990")
+
+
 def cost_projection(spark, sf_dir):
     volumes = T.table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("n_docs"))
@@ -249,4 +266,4 @@ def amount_stability(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     skipped_runs, trial_summaries, benchmark_ranking, best_config, wanted_configs, report_ranking, report_detail,
     release_gate, variant_documents, strategy_comparison, threshold_tuning, gold_documents, gold_page_gaps,
-    gold_growth, client_spend, quality_metrics, cost_projection, flag_drift, drift_alarms, amount_stability, calibrated_confidence, sure_release_gate)}
+    gold_growth, client_spend, quality_metrics, usage_rollup, cost_projection, flag_drift, drift_alarms, amount_stability, calibrated_confidence, sure_release_gate)}
