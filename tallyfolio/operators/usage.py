@@ -50,7 +50,8 @@ def summarise(calls: DataFrame, groups: Sequence[str], measures: Sequence[str],
 class UsageState:
     """Summaries of whole days, a folder each; a day that comes again replaces its own and no other.
 
-    ``groups`` names the day first. A batch is read once, when it is added; reports read summaries only.
+    ``groups`` names the day first; calls without a day, or with an empty one, share a folder as day
+    null. A batch is read once, when it is added; reports read summaries only.
     """
 
     def __init__(self, spark: SparkSession, path: str, groups: Sequence[str], measures: Sequence[str]):

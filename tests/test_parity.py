@@ -14,7 +14,7 @@ duckdb = pytest.importorskip("duckdb")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
 SECTION = ("reconcile_orders", "split_documents", "job_outcomes", "job_partial_update", "lifecycle_violations",
-           "strategy_comparison", "document_kinds", "stream_final_flush", "stream_live_status", "model_calls", "field_checks")
+           "strategy_comparison", "document_kinds", "stream_final_flush", "stream_live_status", "model_calls", "field_checks", "usage_rollup")
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 CHOSEN = sorted(ORACLE) if os.environ.get("TALLYFOLIO_PARITY") == "all" else SECTION
 

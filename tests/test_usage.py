@@ -109,3 +109,13 @@ def test_buckets_hold_their_error(spark):
         assert y == 0.0 if x <= 0 else abs(y - x) <= U.ERROR * x * (1 + 1e-9)
     none = spark.createDataFrame([(None,), (math.nan,), (math.inf,), (-math.inf,)], "x double")
     assert none.filter(U.bucket_of(F.col("x")).isNotNull()).count() == 0
+
+
+def test_calls_without_a_day_are_one_day(spark, tmp_path):
+    state = U.UsageState(spark, str(tmp_path / "s"), GROUPS, MEASURES)
+    rows = [(None, "a", 1.0, 2.0, None, 0, "x", 0), ("", "a", 3.0, 2.0, "timeout", 1, "x", 0), ("d1", None, 5.0, 2.0, None, 2, "x", 0)]
+    for _ in range(2):
+        state.add(frame(spark, rows), failed())
+    got = {(r.level, r.day, r.vendor): (r.n, r.n_failed, r.total) for r in U.usage_report(state.read(), GROUPS).filter("measure = 'latency'").collect()}
+    assert got == {(0, None, None): (3, 1, 9.0), (1, None, None): (2, 1, 4.0), (1, "d1", None): (1, 0, 5.0),
+                   (2, None, "a"): (2, 1, 4.0), (2, "d1", None): (1, 0, 5.0)}
