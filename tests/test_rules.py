@@ -131,3 +131,18 @@ def test_conforming_values_are_typed(spark):
     assert (row.total, row.tax, row.vendor, row.line_items[0].amount) == (46.11, 2.0, None, 1.5)
     again = R.conform(spark.createDataFrame([('{"total":1}',)], "v string"), "v").first().invoice
     assert again.line_items == []
+
+
+def test_sums_of_a_record_are_folded_once(spark):
+    """Each sum over the lines is one fold in the plan, however often the rules look at it."""
+    df = spark.createDataFrame([], "r " + INVOICE.simpleString())
+    for rule in (R.normalize, R.reconcile):
+        plan = df.select(rule(F.col("r")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("aggregate(") == 1
+
+
+def test_numbers_joined_by_a_low_line_are_read(spark):
+    texts = [('{"total":"1_0.5","line_items":[{"description":"a","amount":" 2_0 "}]}',), ('{"total":"3.5","line_items":[{"description":"a_1"}]}',)]
+    rows = R.conform(spark.createDataFrame(texts, "v string"), "v").collect()
+    assert [r.fault for r in rows] == [None, None]
+    assert [r.invoice.total for r in rows] == [10.5, 3.5] and rows[0].invoice.line_items[0].amount == 20.0
