@@ -199,3 +199,11 @@ def test_bootstrap_gate_covers_and_repeats(spark):
     weights = spark.range(20000).select(M.weight(F.col("id"), F.lit(3)).alias("w")).groupBy("w").count().collect()
     share = {r.w: r["count"] / 20000 for r in weights}
     assert abs(share[0] - math.exp(-1)) < 0.02 and abs(share[1] - math.exp(-1)) < 0.02 and abs(share[2] - math.exp(-1) / 2) < 0.02
+
+
+def test_bootstrap_weights_are_worked_out_once(spark):
+    """One digest per row and replicate in the plan; a filter on the weight would repeat it."""
+    runs = spark.createDataFrame([("a", "d1", 0.5), ("a", "d2", 1.0)], "config string, doc string, overall double")
+    plan = M.replicated(runs, "config", "doc", {"overall": F.col("overall")})._jdf.queryExecution().optimizedPlan()
+    lines = [x for x in plan.toString().split("\n") if "md5(" in x]
+    assert len(lines) == 1 and "Filter" not in lines[0]
