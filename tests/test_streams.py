@@ -109,6 +109,50 @@ def test_stuck_jobs_over_several_batches(spark, tmp_path):
     assert found[-1] == [("silent", 3), ("slow", 4)]
 
 
+def test_stuck_jobs_are_those_of_a_pass_over_each_job(spark, tmp_path):
+    """Random jobs in three batches, with rows out of order and of the same time, against one loop per job."""
+    rng = random.Random(11)
+    W.use_rocksdb(spark)
+    schema, patience, late = "job_id string, status string, ts timestamp, seq int", 30, 60
+    found, held, high, expected = [], {}, None, set()
+    for batch in range(3):
+        rows = [(f"j{rng.randint(0, 40)}", rng.choice(["RUNNING", "RUNNING", "PENDING", "FAILED"]),
+                 at(batch * 100 + rng.choice([0, 7.25, 30, 31, 60, rng.randint(0, 100)])), batch * 1000 + i) for i in range(120)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for job, status, ts, seq in sorted(rows, key=lambda r: (r[2], r[3])):
+            if job in held and (ts, seq) < held[job]:
+                continue
+            if job in held and ts > held[job][0] + timedelta(minutes=patience):
+                expected.add((job, held[job][1]))
+            held.pop(job, None)
+            if status == "RUNNING":
+                held[job] = ts, seq
+        high = max([r[2] for r in rows] + ([high] if high else []))
+        for job, (ts, seq) in list(held.items()):
+            if ts + timedelta(minutes=patience) <= high - timedelta(minutes=late):
+                expected.add((job, seq))
+                del held[job]
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        X.write_batches(W.stuck_jobs(stream, patience, f"{late} minutes"), X.keep_batch(f"{tmp_path}/out"), f"{tmp_path}/cp").awaitTermination()
+        found = [(r.job_id, r.seq) for r in spark.read.schema(W.REQUEUE).parquet(f"{tmp_path}/out").collect()]
+    assert len(found) == len(set(found)) > 20 and set(found) == expected
+
+
+def test_state_of_stuck_jobs_is_kept_by_bucket(spark, tmp_path):
+    """Calls into Python are bounded by the buckets, not by the jobs."""
+    W.use_rocksdb(spark)
+    spark.range(20_000).select(F.concat(F.lit("j"), "id").alias("job_id"), F.lit("RUNNING").alias("status"), F.lit(at(0)).alias("ts"),
+                               F.col("id").cast("int").alias("seq")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("clock", "PENDING", at(500), 0)], "job_id string, status string, ts timestamp, seq int").write.mode("append").parquet(
+        f"{tmp_path}/in")
+    stream = spark.readStream.schema("job_id string, status string, ts timestamp, seq int").parquet(f"{tmp_path}/in")
+    X.write_batches(W.stuck_jobs(stream, 30, "20 minutes"), X.keep_batch(f"{tmp_path}/out"), f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.schema(W.REQUEUE).parquet(f"{tmp_path}/out").distinct().count() == 20_000
+    # A read of the stored state names its keys.
+    keys = spark.read.format("statestore").option("stateVarName", "watched").load(f"{tmp_path}/cp").schema["key"].dataType
+    assert keys.names == ["bucket"]
+
+
 # ------------------------------------------------------------------ three sinks
 
 def test_a_crash_between_sinks_leaves_nothing_visible(spark, tmp_path):
