@@ -5,7 +5,7 @@ holds a bounded group of queries, the rows of a block stream past, and only the
 leave the task.
 
 The index keeps every row in the cell of its nearest centre. Centres are fitted by k-means on a
-bounded sample (``SAMPLE`` rows); cells are folders of a Parquet table, and new batches are
+bounded sample (``SAMPLE`` rows), so their number is bounded too; cells are folders of a Parquet table, and new batches are
 appended to them, a repeated batch replacing itself. A query probes the cells whose centres are
 nearest; with ``exact`` it then also reads every cell that could hold something better, judged by
 the cell's angle: cos(angle to the centre - widest angle of the cell) bounds what is inside.
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tallyfolio.operators.staging import written
 
 SAMPLE = 20_000
+# Fewest rows of the sample for each centre; more centres would be placed by chance, and they pass the driver.
+ROWS_PER_CENTRE = 20
 BLOCK_ROWS = 32_768
 GROUP_ROWS = 4_096
 # Products of a batch may differ in their last bits from sums taken alone; what is closer is compared anew.
@@ -164,7 +166,12 @@ class VectorIndex:
     @classmethod
     def fit(cls, vectors: DataFrame, folder: str, cells: int, vec_id: str = "vec_id", embedding: str = "embedding",
             sample: int = SAMPLE, seed: int = 42) -> VectorIndex:
-        """Centres by k-means on at most ``sample`` rows, those with the smallest id hashes."""
+        """Centres by k-means on at most ``sample`` rows, those with the smallest id hashes.
+
+        The sample bounds how many: ``cells`` of them, one for ``ROWS_PER_CENTRE`` of its rows at most. Beyond that
+        cells grow with the table, and a search reads them in parts.
+        """
+        cells = min(cells, max(1, sample // ROWS_PER_CENTRE))
         good = vectors.filter(usable(F.col(embedding)) & F.col(vec_id).isNotNull())
         rows = good.select(unit(F.col(embedding)).alias("v"), F.xxhash64(vec_id).alias("h"), vec_id).orderBy("h", vec_id).limit(sample)
         model = KMeans(k=cells, seed=seed, maxIter=20, featuresCol="f", distanceMeasure="cosine").fit(

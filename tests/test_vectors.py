@@ -97,3 +97,12 @@ def test_probes_of_the_registered_index_recall_nine_of_ten(spark):
     from tallyfolio.plans import ladder
     found = ladder.vector_probe_recall(spark, "/root/testdata/sf0.01").agg(F.sum("hits") / F.sum("n")).first()[0]
     assert found >= 0.9
+
+
+def test_the_sample_bounds_the_centres(tmp_path, table, queries, rows):
+    """Cells beyond what the sample can place are not asked for; every row is indexed and found all the same."""
+    index = V.VectorIndex.fit(table, str(tmp_path), 500, sample=200)
+    assert len(index.centres) <= 200 // V.ROWS_PER_CENTRE
+    index.append(table, 0)
+    assert index.rows().count() == len(rows)
+    assert told(index.search(queries, probes=2, exact=True, block_rows=100)) == plain(rows, [r for r in rows if r[0] % 20 == 0])
