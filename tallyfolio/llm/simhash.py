@@ -12,10 +12,11 @@ their own. Every bucket reports a spanning star per group, not its pairs. Groups
 buckets are joined by the large-star / small-star rounds of Kiveris et al. (2014); each round
 is a table in the shared folder. Exact copies share one fingerprint and are one node.
 
-``first_of_each``, the stage of the pipeline, is not bound to these constants: 64 bits hardly tell
-a similarity of 0.8. It takes candidates from MinHash bands over five-word shingles and compares
-the whole shingle sets of each candidate before a document goes. Groups of many documents that are
-alike but below 0.8 are told apart by an exact prefix filter, not pair by pair.
+``first_of_each``, the stage of the pipeline, takes five-word shingles. Its candidates are the
+groups that the same search finds among their fingerprints; the whole shingle sets are compared
+before a document goes. 64 bits within two do not reach down to a similarity of 0.8, so MinHash
+bands add candidates to those groups. Groups of many documents that are alike but below 0.8 are
+told apart by an exact prefix filter, not pair by pair.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; a null
 ``doc_id`` takes part but never names a group that has another id; repeated rows are copies of
@@ -79,11 +80,14 @@ def fingerprint(found: list[int]) -> int:
     return int(np.packbits(2 * counts > len(grid), bitorder="little").view("<u8")[0])
 
 
+def _signed(found: Iterable[int]) -> pa.Array:
+    return pa.array(np.array(list(found), np.uint64).view(np.int64))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [fingerprint(hashes(t.as_py())) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
+        found = _signed(fingerprint(hashes(t.as_py())) for t in batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "fp"])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -353,13 +357,17 @@ def grouped(prints: DataFrame) -> DataFrame:
         .select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-groups")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, fp, component_id): one row per document.
+def with_groups(prints: DataFrame) -> DataFrame:
+    """The stored table ``prints`` (id, fp, ...) with the ``component_id`` of each row's group.
 
-    Both sides of the last join are tables, so Spark can split a fingerprint with many copies.
+    Both sides of the join are tables, so Spark can split a fingerprint with many copies.
     """
-    prints = written(fingerprints(docs, text, doc_id), "simhash-documents")
-    return prints.join(grouped(prints), "fp").select("id", "fp", "component_id")
+    return prints.join(grouped(prints.select("id", "fp")), "fp").select(*prints.columns, "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, fp, component_id): one row per document."""
+    return with_groups(written(fingerprints(docs, text, doc_id), "simhash-documents"))
 
 
 # ------------------------------------------------------------------ documents that stay
@@ -389,11 +397,13 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 def _bands(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column("text")]
+            found = [hashes(t.as_py(), size) for t in batch.column("text")]
+            sets = [np.unique(np.array(f, np.uint64)) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("place"), pa.array(map(len, sets), pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["place", "n", "copy", "keys"])
+                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                 _signed(map(fingerprint, found))], ["place", "n", "copy", "keys", "fp"])
     return run
 
 
@@ -453,17 +463,28 @@ def prefix_pairs(sets: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
             .select(F.col("member1").alias("one"), F.col("member2").alias("two")).distinct())
 
 
-def _dropped(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> list[DataFrame]:
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(place, n, key): the buckets of candidates of ``nodes`` (place, n, keys, fp).
+
+    A bucket per group of linked fingerprints, named by a row of it, and one per MinHash band. A name
+    that two buckets happen to share joins them, which costs comparisons and no result.
+    """
+    prints = nodes.select(F.xxhash64("place.row").alias("id"), "fp", "place", "n")
+    groups = written(with_groups(prints).select("place", "n", F.col("component_id").alias("key")), "near-groups")
+    return nodes.select("place", "n", F.explode("keys").alias("key")).union(groups)
+
+
+def _dropped(buckets: DataFrame, texts: DataFrame, size: int, percent: int) -> list[DataFrame]:
     """Tables (place) of the nodes that are similar to a staying node with a smaller place.
 
-    Round by round, a node that is the first of all its buckets stays, and what is similar to it
+    ``buckets`` (place, n, key) says which nodes are candidates of each other. Round by round, a node that is the first of all its buckets stays, and what is similar to it
     in its buckets goes. Buckets of many nodes that are not similar would take a round for each:
     after ``STAR_ROUNDS`` the nodes left are joined by their rarest shingles, and the pairs that are
     similar go on as buckets of two. Tables that grow with the documents are joined by merging at any
     size: none is small enough to broadcast where it matters, and a hot row is split.
     """
-    open_, gone, kept_texts = nodes.select("place", "n", F.explode("keys").alias("key")), [], None
-    kind = nodes.schema["place"].dataType.simpleString()
+    open_, gone, kept_texts = buckets, [], None
+    kind = buckets.schema["place"].dataType.simpleString()
     rounds = 0
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -528,11 +549,11 @@ def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     place = F.struct(F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
     given = table.select(F.col(text).alias("text"), place.alias("place"))
     kind = given.schema["place"].dataType.simpleString()
-    prints = given.mapInArrow(_bands(shingle), f"place {kind}, n bigint, copy binary, keys array<bigint>")
+    prints = given.mapInArrow(_bands(shingle), f"place {kind}, n bigint, copy binary, keys array<bigint>, fp bigint")
     # Copies have one set of shingles; the first of them stands for all.
-    nodes = written(prints.groupBy("copy").agg(F.min(F.struct("place", "n", "keys")).alias("first")).select("first.*"), "near-nodes")
+    nodes = written(prints.groupBy("copy").agg(F.min(F.struct("place", "n", "keys", "fp")).alias("first")).select("first.*"), "near-nodes")
     kept = nodes.select("place")
-    for out in _dropped(nodes, table.select(F.col(row).alias("row"), F.col(text).alias("text")), shingle, percent):
+    for out in _dropped(_buckets(nodes), table.select(F.col(row).alias("row"), F.col(text).alias("text")), shingle, percent):
         kept = kept.join(out, "place", "left_anti")
     kept = written(kept.select(F.col("place.row").alias(row)), "near-kept")
     return table.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)

@@ -221,6 +221,25 @@ def test_one_document_of_each_group_stays(spark, odd):
     assert near == {(None, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (6, 6)}
 
 
+@pytest.mark.parametrize("star_rounds", [6, 0])
+def test_linked_fingerprints_are_candidates_of_the_stage(spark, monkeypatch, star_rounds):
+    """Without any band, of what the fingerprints link the similar texts go, and only those."""
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", star_rounds)
+    monkeypatch.setattr(simhash, "band_keys", lambda found: np.empty(0, np.int64))
+    rng = random.Random(15)
+
+    def words(n):
+        return [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    base, passage = words(403), words(31) * 60      # odd numbers of shingles: no bit is a tie
+    texts = [" ".join(w) for w in (base, passage + words(20), base[:-1] + ["other"], words(400), passage + words(20))]
+    prints = [simhash.fingerprint(simhash.hashes(t, simhash.STAGE_SHINGLE)) for t in texts]
+    sets = [simhash.shingle_set(t) for t in texts]
+    assert max((prints[a] ^ prints[b]).bit_count() for a, b in ((0, 2), (1, 4))) <= 2
+    assert simhash.similar(sets[0], sets[2]) and not simhash.similar(sets[1], sets[4])
+    got = sorted(r.doc_id for r in simhash.first_of_each(table(spark, [(t, "en", "s") for t in texts])).collect())
+    assert got == [0, 1, 3, 4]
+
+
 @pytest.mark.parametrize("star_rounds", [6, 0])
 def test_documents_similar_to_a_staying_one_go(spark, monkeypatch, star_rounds):
     """Similarities around 0.8, chains of links, copies and null ids, against all pairs in order of ids."""
