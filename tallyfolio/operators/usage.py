@@ -60,7 +60,8 @@ class UsageState:
     def add(self, calls: DataFrame, failed: Column) -> None:
         """All calls of the days in ``calls``; a batch without calls changes nothing."""
         found = summarise(calls, self.groups, self.measures, failed)
-        (found.repartition(self.groups[0]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # By day, and a large day in as many parts as its size asks for.
+        (found.hint("rebalance", self.groups[0]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(self.groups[0]).parquet(self.path))
 
     def read(self) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfolio.operators import usage as U
+from tallyfolio.plans import evaluation as E, tables as T
 
 GROUPS, MEASURES = ["day", "vendor"], ["latency", "cost"]
 SCHEMA = "day string, vendor string, latency double, cost double, error string, n int, bucket string, `_m` int"
@@ -119,3 +120,38 @@ def test_calls_without_a_day_are_one_day(spark, tmp_path):
     got = {(r.level, r.day, r.vendor): (r.n, r.n_failed, r.total) for r in U.usage_report(state.read(), GROUPS).filter("measure = 'latency'").collect()}
     assert got == {(0, None, None): (3, 1, 9.0), (1, None, None): (2, 1, 4.0), (1, "d1", None): (1, 0, 5.0),
                    (2, None, "a"): (2, 1, 4.0), (2, "d1", None): (1, 0, 5.0)}
+
+
+def test_a_large_day_is_written_in_parts(spark, tmp_path):
+    state = U.UsageState(spark, str(tmp_path / "s"), GROUPS, MEASURES)
+    rows = [("d1", f"v{i}", float(i % 900 + 1), 0.5, None, i, "x", i) for i in range(4000)]
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for name, size in small.items():
+        spark.conf.set(name, size)
+    try:
+        state.add(frame(spark, rows), failed())
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert len(files(state.path)["day=d1"]) > 1
+    assert told(state.read()) == told(U.summarise(frame(spark, rows), GROUPS, MEASURES, failed()))
+
+
+def test_calls_of_own_bills_are_not_joined_and_build_no_answer(spark, sf_dir):
+    plan = E.billed_calls(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "invoice_number" not in plan
+    every = T.attempts(spark, sf_dir).drop("response_json")
+    assert every.exceptAll(T.calls(spark, sf_dir).select(*every.columns)).isEmpty() and every.count() == T.calls(spark, sf_dir).count()
+
+
+def test_jobs_that_bills_share_give_every_bill_all_their_calls(spark, sf_dir, tmp_path):
+    """Repeated lines, some shipped in another year or without numbers, against the plain join."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(400)
+    later = lines.filter("l_orderkey % 3 = 0").withColumn("l_shipdate", F.expr("l_shipdate + interval 400 days").cast("timestamp"))
+    bare = lines.filter("l_orderkey % 5 = 0").withColumn("l_partkey", F.lit(None).cast("bigint"))
+    lines.union(later).union(bare).union(bare).write.parquet(f"{tmp_path}/lineitem.parquet")
+    bills = T.bills(spark, str(tmp_path)).select("job_id", "vendor", F.date_format("shipped", "yyyy").alias("year"))
+    columns = ["year", "vendor", "tier", "error_class", "latency_s"]
+    want = T.attempts(spark, str(tmp_path)).join(bills, "job_id").select(*columns)
+    got = E.billed_calls(spark, str(tmp_path)).withColumnRenamed("latency", "latency_s").select(*columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
