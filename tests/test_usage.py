@@ -155,3 +155,11 @@ def test_jobs_that_bills_share_give_every_bill_all_their_calls(spark, sf_dir, tm
     want = T.attempts(spark, str(tmp_path)).join(bills, "job_id").select(*columns)
     got = E.billed_calls(spark, str(tmp_path)).withColumnRenamed("latency", "latency_s").select(*columns)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_calls_of_bills_without_a_date_are_counted(spark, sf_dir, tmp_path):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(200)
+    undated = F.when(F.col("l_orderkey") % 4 > 0, F.col("l_shipdate"))
+    lines.withColumn("l_shipdate", undated).write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = E.usage_rollup(spark, str(tmp_path)).filter("level = 0 AND measure = 'latency'").first()
+    assert whole.n == T.attempts(spark, str(tmp_path)).count()
